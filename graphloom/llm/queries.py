@@ -14,6 +14,13 @@ def op4_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_simhash(spark, sf_dir):
+    from graphloom.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_decontamination(spark, sf_dir):
     from graphloom.llm.decontaminate import contamination
 
@@ -22,4 +29,4 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_simhash, op10_decontamination)}
