@@ -14,6 +14,18 @@ def op4_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_warc(spark, sf_dir):
+    from graphloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    from graphloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     from graphloom.llm.simhash import near_duplicates
 
@@ -29,4 +41,4 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_warc, op6_best_fit_packing, op7_simhash, op10_decontamination)}

@@ -39,4 +39,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
 """
 
-ORACLE = {"op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
+WARC = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes,
+         translate(' || '.join_parts, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+""".replace("' || '.join_parts", " || ".join(f"upper(to_base(('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT, 32, 8))" for k in range(4)))
+
+ORACLE = {"op5_warc": WARC, "op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
