@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import table
 
 
+def op1_pii(spark, sf_dir):
+    from graphloom.llm import pii
+
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")), *(f"n_{k}" for k in pii.BASE))
+
+
 def op4_line_dedup(spark, sf_dir):
     from graphloom.llm.linededup import dedup_lines
 
@@ -41,4 +47,4 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_warc, op6_best_fit_packing, op7_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_line_dedup, op5_warc, op6_best_fit_packing, op7_simhash, op10_decontamination)}
