@@ -39,6 +39,12 @@ def op7_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark, sf_dir):
+    from graphloom.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secrets(spark, sf_dir):
     from graphloom.llm import pii, secretscan
 
@@ -53,4 +59,4 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_line_dedup, op5_warc, op6_best_fit_packing, op7_simhash, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_line_dedup, op5_warc, op6_best_fit_packing, op7_simhash, op8_toxicity, op9_secrets, op10_decontamination)}
