@@ -13,6 +13,13 @@ def op1_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")), *(f"n_{k}" for k in pii.BASE))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    from graphloom.llm.suffixdedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_fingerprints(spark, sf_dir):
     from graphloom.llm.parsing import fingerprint_edits
 
@@ -65,4 +72,4 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_fingerprints, op4_line_dedup, op5_warc, op6_best_fit_packing, op7_simhash, op8_toxicity, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_fingerprints, op4_line_dedup, op5_warc, op6_best_fit_packing, op7_simhash, op8_toxicity, op9_secrets, op10_decontamination)}
