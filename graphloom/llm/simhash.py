@@ -32,27 +32,48 @@ TILE = 4096
 #: Buckets up to this size are compared together, pair by pair; larger ones as blocks of queries against all planes.
 SMALL = 24
 
+#: For documents alike to 0.8: words in a shingle, fingerprints side by side, bits that may
+#: differ (the expected distance at that similarity and two thirds of its deviation), tables and bits that propose pairs.
+NEAR_WORDS, NEAR_SIMILARITY, WIDE, NEAR_RADIUS, TABLES, TABLE_BITS = 5, 0.8, 4, 42, 64, 20
+TURNS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Majority of the bits of XXH64 over the word shingles, repeats included; unsigned."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; fewer words than a shingle has are one shingle."""
     ws = text.translate(FOLD).split()
     if not ws:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(ws)
     end = np.cumsum(np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1) - 1
     start = np.concatenate(([0], end[:-1] + 1)).tolist()
     end = end[words - 1 :].tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(start, end, strict=False)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start, end, strict=False)], dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """Bits that more than half of the hashes have; 0 without hashes."""
+    if not len(h):
+        return np.uint64(0)
     lanes = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 64:
         counts = np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0)
     else:
         counts = np.concatenate([np.bincount(lanes[:, j], minlength=256) @ BITS for j in range(8)])
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    return int(majority(shingle_hashes(text, words)))
+
+
+def wide_fingerprint(text: bytes, words: int) -> list[int]:
+    """WIDE fingerprints side by side, of hashes turned anew for each; signed."""
+    h = shingle_hashes(text, words)
+    return [int(np.int64(majority(h if not k else (h ^ (h >> np.uint64(29))) * np.uint64(TURNS[k - 1])).view(np.int64))) for k in range(WIDE)]
 
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS) -> DataFrame:
@@ -67,28 +88,29 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", words: int = WOR
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes (64, words): bit j of word w of plane b is bit b of fingerprint 64 w + j; the last word is filled up with zeros."""
+    """Bit planes (bits, words): bit j of word w of plane b is bit b of fingerprint 64 w + j; the last word is filled up with zeros."""
+    fps = fps.reshape(len(fps), -1)
     n = -(-len(fps) // 64) * 64
-    full = np.zeros(n, dtype=np.uint64)
+    full = np.zeros((n, fps.shape[1]), dtype=np.uint64)
     full[: len(fps)] = fps
-    bits = np.unpackbits(full.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(full.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(diff, cells: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (words of 64 lanes) with a distance of at most radius (under 8), and the lanes that have it.
+def within(diff, cells: int, radius: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (words of 64 lanes) with a distance of at most radius, and the lanes that have it.
 
-    diff(plane, cells) gives the differing bits of the listed cells.  Three counter words and an overflow word count up to
-    64 distances at once; cells whose lanes have all exceeded the radius are left out from then on.
+    diff(plane, cells) gives the differing bits of the listed cells.  Counter words and an overflow word count up 64
+    distances at once; cells whose lanes have all exceeded the radius are left out from then on.
     """
     at = np.arange(cells)
-    c = [np.zeros(cells, dtype=np.uint64) for _ in range(3)]
+    limit = radius + 1  # lanes whose counter is limit or more have exceeded
+    c = [np.zeros(cells, dtype=np.uint64) for _ in range(limit.bit_length())]
     over = np.zeros(cells, dtype=np.uint64)
     every = ~np.uint64(0)
-    limit = radius + 1  # lanes whose counter is limit or more have exceeded
-    for plane in range(64):
+    for plane in range(bits):
         carry = diff(plane, at)
-        for k in range(3):
+        for k in range(len(c)):
             c[k], carry = c[k] ^ carry, c[k] & carry
         over |= carry
         if plane % 8 == 7:
@@ -102,14 +124,15 @@ def within(diff, cells: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _at_least(c: list[np.ndarray], limit: int) -> np.ndarray:
-    """Lanes whose three-bit counter is at least limit."""
-    out = np.zeros_like(c[0])
-    for v in range(limit, 8):
-        hit = ~np.uint64(0)
-        for k in range(3):
-            hit = hit & (c[k] if v >> k & 1 else ~c[k])
-        out |= hit
-    return out
+    """Lanes whose counter is at least limit, compared from the highest bit down."""
+    more, equal = np.zeros_like(c[0]), np.full_like(c[0], ~np.uint64(0))
+    for k in range(len(c) - 1, -1, -1):
+        if limit >> k & 1:
+            equal &= c[k]
+        else:
+            more |= equal & c[k]
+            equal &= ~c[k]
+    return more | equal
 
 
 def lanes_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +164,7 @@ def _small_links(fps: np.ndarray, start: np.ndarray, size: np.ndarray, radius: i
     for d in range(1, int(size.max(initial=1))):
         a = member[left >= d]
         x = planes(fps[a] ^ fps[a + d])
-        cell, hit = within(lambda p, at, x=x: x[p][at], x.shape[1], radius)
+        cell, hit = within(lambda p, at, x=x: x[p][at], x.shape[1], radius, len(x))
         w, lane = lanes_of(hit)
         k = cell[w] * 64 + lane
         k = k[k < len(a)]
@@ -156,11 +179,12 @@ def _large_links(fps: np.ndarray, radius: int, queries: int = 64) -> np.ndarray:
     """Forest of one large bucket: blocks of queries against the planes of all members."""
     n, table = len(fps), planes(fps)
     width = table.shape[1]
-    sign = np.where((fps[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ~np.uint64(0), np.uint64(0))
+    flat = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    sign = np.where(flat, ~np.uint64(0), np.uint64(0))
     root = np.arange(n)
     for q in range(0, n, queries):
         rows = sign[q : q + queries]
-        cell, hit = within(lambda p, at, rows=rows: table[p][at % width] ^ rows[at // width, p], len(rows) * width, radius)
+        cell, hit = within(lambda p, at, rows=rows: table[p][at % width] ^ rows[at // width, p], len(rows) * width, radius, len(table))
         w, lane = lanes_of(hit)
         a, b = q + cell[w] // width, cell[w] % width * 64 + lane
         a, b = a[b < n], b[b < n]
@@ -170,7 +194,7 @@ def _large_links(fps: np.ndarray, radius: int, queries: int = 64) -> np.ndarray:
 
 
 def bucket_links(radius: int = RADIUS):
-    """Arrow batches of (bucket, fp, id), all of a bucket together -> (a, b) ids, a spanning forest of each bucket's links."""
+    """Arrow batches of (bucket, id, fp, ...), all of a bucket together -> (a, b) ids, a spanning forest of each bucket's links."""
 
     def links(bucket, fps, ids):
         start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -185,16 +209,18 @@ def bucket_links(radius: int = RADIUS):
         return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["a", "b"])
 
     def run(batches):
-        held = [np.empty(0, dtype=np.int64)] * 3
+        held = None
         for batch in batches:
-            new = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                new = [np.concatenate(x) for x in zip(held, new, strict=True)]
             bucket = new[0]
             cut = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last bucket may go on
             if cut:
-                yield links(bucket[:cut], new[1][:cut].view(np.uint64), new[2][:cut])
+                yield links(bucket[:cut], np.stack(new[2:], axis=1)[:cut].view(np.uint64), new[1][:cut])
             held = [x[cut:] for x in new]
-        if len(held[0]):
-            yield links(held[0], held[1].view(np.uint64), held[2])
+        if held is not None and len(held[0]):
+            yield links(held[0], np.stack(held[2:], axis=1).view(np.uint64), held[1])
 
     return run
 
@@ -206,20 +232,62 @@ def _buckets(radius: int, blocks: int) -> list:
     return [F.xxhash64(F.lit(k), *(part[i] for i in pick)) for k, pick in enumerate(combinations(range(blocks), blocks - radius))]
 
 
+def _masks(tables: int, bits: int) -> list[list[int]]:
+    """For each table the bits that must agree, drawn by rule from all words of a wide fingerprint."""
+    rng, out = np.random.default_rng(1), []
+    for _ in range(tables):
+        word = [0] * WIDE
+        for b in rng.permutation(64 * WIDE)[:bits].tolist():
+            word[b // 64] |= 1 << b % 64
+        out.append([w - (1 << 64) if w >> 63 else w for w in word])
+    return out
+
+
+def _sampled() -> list:
+    return [F.xxhash64(F.lit(k), *(F.col(f"fp{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(word))) for k, word in enumerate(_masks(TABLES, TABLE_BITS))]
+
+
 def similar(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """Of distinct (fp, id): the links a, b between ids whose fingerprints are within the radius, as forests of the buckets."""
-    rows = prints.select("fp", "id", F.explode(F.array(*_buckets(radius, blocks))).alias("bucket"))
+    return _linked(prints, ["fp"], _buckets(radius, blocks), radius, tile)
+
+
+def _linked(prints: DataFrame, words: list[str], buckets: list, radius: int, tile: int) -> DataFrame:
+    rows = prints.select("id", *words, F.explode(F.array(*buckets)).alias("bucket"))
     sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    kept = rows.join(sizes, "bucket")  # rows of 24 bytes; adaptive execution splits a hot bucket
+    kept = rows.join(sizes, "bucket")  # short rows; adaptive execution splits a hot bucket
     parts = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    whole = kept.where(F.col("n") <= tile).select("bucket", "fp", "id")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    whole = kept.where(F.col("n") <= tile).select("bucket", "id", *words)
     split = kept.where(F.col("n") > tile).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    split = split.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "fp", "id")
-    dealt = whole.unionByName(split).repartition("bucket").sortWithinPartitions("bucket", "fp")
+    split = split.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "id", *words)
+    dealt = whole.unionByName(split).repartition("bucket").sortWithinPartitions("bucket", "id")
     return dealt.mapInArrow(bucket_links(radius), "a long, b long")
 
 
+def copies(docs: DataFrame, doc_id="doc_id", text="text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
+    """doc_id, component_id over documents whose word shingles are alike to NEAR_SIMILARITY or more.
+
+    Five-word shingles of that similarity agree on about 85 % of SimHash bits, too few for an exact search by blocks of 64
+    bits.  So WIDE fingerprints are laid side by side; TABLES samples of TABLE_BITS bits propose pairs (a pair at the
+    similarity meets in one of them with probability 0.92, one of 0.9 with 0.999), and the bit-sliced distance decides.
+    """
+    names = [f"fp{k}" for k in range(WIDE)]
+
+    def run(batches):
+        for batch in batches:
+            rows = [wide_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)]
+            columns = zip(*rows, strict=True) if rows else [[]] * WIDE
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *names])
+
+    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
+    prints = written(source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "wide")
+    distinct = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "distinct")
+    roots = components(_linked(distinct.select("id", *names), names, _sampled(), radius, TILE), "a", "b")
+    rooted = written(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*names, F.coalesce("root", "id").alias("component_id"), "n"), "rooted")
+    return join_counted(prints, rooted, names, "n", prints.count()).select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     prints = written(fingerprints(docs, doc_id, text, words), "fingerprints")
