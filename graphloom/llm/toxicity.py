@@ -92,7 +92,7 @@ def features(s: np.ndarray, word: np.ndarray):
 
 def dense(words: list[str]) -> np.ndarray:
     """Normalised feature vectors of single words."""
-    out = np.zeros((len(words), WIDTH**3))
+    out = np.zeros((len(words), WIDTH**3), dtype=np.float32)
     for i, w in enumerate(words):
         s = symbols(w)
         word, _, _ = words_in(s)
@@ -132,9 +132,9 @@ def kernel_rows(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     return out / norms(of, f, weight, len(words))[:, None]
 
 
-def unlike(words: list[str], count: int, most: float = 0.6, pool: int = 600) -> list[str]:
+def unlike(words: list[str], count: int, most: float = 0.6, pool: int = 400) -> list[str]:
     """Up to count words in the order given, none with a kernel above `most` with one before it."""
-    x = dense(words[:pool]).astype(np.float32)
+    x = dense(words[:pool])
     like, out = x @ x.T, []
     for i in range(len(x)):
         if len(out) < count and (not out or like[i, out].max() <= most):
@@ -238,39 +238,40 @@ def train(texts: list[str], toxic: list[int], totals: tuple[int, int]) -> Model:
     for c in (0, 1):
         mine = order[y[order] == c]
         held[mine[: len(mine) // 4 if len(mine) > 3 else 0]] = True
-    bags = [_bag(t) for t in texts]
-    seen: dict[str, list[int]] = {}
-    for b, c, h in zip(bags, y, held, strict=True):
-        if not h:
-            for w in b:
-                seen.setdefault(w, [0, 0])[c] += 1
-    n0, n1 = int(((y == 0) & ~held).sum()), int(((y == 1) & ~held).sum())
-    evidence = {w: np.log((k[1] + 0.5) / (n1 + 1)) - np.log((k[0] + 0.5) / (n0 + 1)) for w, k in seen.items() if k[1]}
+    vocabulary: dict[str, int] = {}
+    bags = [np.array(sorted({vocabulary.setdefault(w, len(vocabulary)) for w in _bag(texts[i])}), dtype=np.int32) for i in np.flatnonzero(~held)]
+    words, of = list(vocabulary), y[~held]
+    del vocabulary
+    count = np.stack([np.bincount(np.concatenate([b for b, c in zip(bags, of, strict=True) if c == k]), minlength=len(words)) for k in (0, 1)])
+    n0, n1 = int((of == 0).sum()), int((of == 1).sum())
+    strength = np.where(count[1] > 0, np.log((count[1] + 0.5) / (n1 + 1)) - np.log((count[0] + 0.5) / (n0 + 1)), -np.inf)
     # a word that only toxic documents hold tells by itself once chance would hardly have it among so many words
-    rarity = np.log(len(y) / max(1, (y == 1).sum()))
-    telling = {w for w in evidence if seen[w][0] <= 0.03 * seen[w][1] and seen[w][1] * rarity > np.log(len(seen)) + 2}
-    clean = sorted(w for w, k in seen.items() if k[0])
-    clean_at = rng.permutation(len(clean))
-    usual = sorted(clean, key=lambda w: (-seen[w][0], w))[: FIT_WORDS // 4]
-    negative = sorted({*usual, *(clean[i] for i in clean_at[: FIT_WORDS // 2])})
+    rarity = np.log(len(of) / max(1, n1))
+    telling = (count[1] > 0) & (count[0] <= 0.03 * count[1]) & (count[1] * rarity > np.log(max(2, len(words))) + 2)
+    clean_at = np.flatnonzero(count[0])
+    clean_at = clean_at[np.argsort(np.array([words[i] for i in clean_at], dtype=object), kind="stable")]
+    usual = [words[i] for i in clean_at[np.argsort(-count[0][clean_at], kind="stable")[: FIT_WORDS // 4]]]
+    negative = sorted({*usual, *(words[i] for i in rng.permutation(clean_at)[: FIT_WORDS // 2])})
+    clean = [words[i] for i in clean_at]
+    evident = np.flatnonzero(count[1])
     model, hard = None, []
-    evident = sorted(evidence)
-    number = {w: i for i, w in enumerate(evident)}
-    strength = np.array([evidence[w] for w in evident])
-    toxic_words = [(np.array([number[w] for w in sorted(b)], dtype=int), [w for w in sorted(b) if w in telling]) for b, c, h in zip(bags, y, held, strict=True) if c and not h]
+    toxic_bags = [b for b, c in zip(bags, of, strict=True) if c]
+    del bags
     for _ in range(ROUNDS):
         witness: dict[str, int] = {}
-        score = strength if model is None else strength + 2 * model.of_words(evident)
-        for at, told in toxic_words:
-            if len(at):
-                for w in {evident[at[np.argmax(score[at])]], *told}:
-                    witness[w] = witness.get(w, 0) + 1
+        score = strength.copy()
+        if model is not None:
+            score[evident] += 2 * model.of_words([words[i] for i in evident])
+        for b in toxic_bags:
+            if len(b):
+                for i in {int(b[np.argmax(score[b])]), *b[telling[b]].tolist()}:
+                    witness[words[i]] = witness.get(words[i], 0) + 1
         positive = sorted(witness, key=lambda w: (-witness[w], w))[: FIT_WORDS // 4]
         marks = unlike(positive, LANDMARKS // 3)
         marks += unlike([w for w in [*hard, *(negative[i] for i in rng.permutation(len(negative))[:LANDMARKS])] if w not in marks], LANDMARKS // 2)
         marks += [w for w in usual if w not in marks][: LANDMARKS - len(marks)]
         basis = dense(marks)
-        values, vectors = np.linalg.eigh(basis @ basis.T)
+        values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
         keep = values > 1e-6 * values.max()
         to_space = vectors[:, keep] / np.sqrt(values[keep])
         fit = positive + negative + hard
