@@ -219,3 +219,12 @@ ORACLE["verdict_parse"] = "SELECT * FROM (VALUES (0, true, 0.75::DOUBLE), (1, fa
 ORACLE["llm_triples"] = "SELECT * FROM (VALUES (6, 'containment', 'cd血管内皮细胞'), (7, 'parallel', 'r血管内皮细胞'), (8, 'containment', 't血管内皮细胞')) v(i, relation, object)"
 ORACLE["application_triples"] = "SELECT * FROM (VALUES (0, '心肌细胞', '心律失常诊断的研究工作', 0.72::DOUBLE), (0, '心电图检查', '评估心肌缺血的程度', 0.72), (0, '血管内皮功', '动脉粥样硬化的形成', 0.72)) v(chunk_pos, subject, object, confidence)"
 ORACLE["extract_triples"] = "SELECT * FROM (VALUES ('prerequisite', 1), ('containment', 3), ('application', 3), ('parallel', 2)) v(relation, n)"
+
+#: Column types that the two engines name differently.
+TYPES = {
+    "INTEGER": {"bm25_topk": "rank", "vector_knn_l2": "rank", "chunk_filter": "chars", "natural_sort": "pos", "sentences": "k", "split_sections": "chars idx level", "section_manifest": "page_min page_max", "section_metadata": "idx", "chapter_chunks": "chars", "chunk_last_wins": "chars", "adjacent_parallel": "idx", "label_in_chunk_topk": "rank", "essence_render": "rank n", "strict_budget": "pos", "tier_samples": "rank"},
+    "BIGINT": {"section_manifest": "characters", "chapter_chunks": "part", "virtual_chunks": "part", "chunk_identity": "chunk_pos", "application_triples": "chunk_pos", "extract_triples": "n", "strict_budget": "used", "compression_stats": "original_chars compressed_chars", "cytoscape_elements": "chars", "llm_json_parse": "i", "llm_triples": "i", "verdict_parse": "i"},
+}
+for _type, _of in TYPES.items():
+    for _name, _columns in _of.items():
+        ORACLE[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {_type}) AS {c}' for c in _columns.split())}) FROM ({ORACLE[_name]}) cast_{_type.lower()}"
