@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def greedy(pairs: list[tuple[str, str]]) -> list[bool]:
@@ -32,8 +33,9 @@ def accept_acyclic(candidates: DataFrame, book: str = "book_id") -> DataFrame:
     """candidates(book, source, target, seq ...) with accepted; order decides, so a book is one group - books, not corpora, bound its size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
+        pdf = pdf.sort_values("__order", kind="stable").drop(columns="__order")
         return pdf.assign(accepted=greedy(list(zip(pdf.source, pdf.target, strict=True))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema)
-    return candidates.groupBy(book).applyInPandas(run, schema + ", accepted boolean")
+    ordered = candidates.withColumn("__order", F.row_number().over(Window.partitionBy(book).orderBy("seq")))
+    return ordered.groupBy(book).applyInPandas(run, schema + ", accepted boolean")
