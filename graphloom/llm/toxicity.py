@@ -300,9 +300,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows ids at most
-    texts = docs.where(F.length("text") <= chars).select("doc_id", "text").join(sample, "doc_id").orderBy("doc_id", "text")
-    got = [(r.text, r.toxic) for r in texts.limit(2 * rows).toLocalIterator()]
-    return train([t for t, _ in got], [c for _, c in got], (counts.get(0, 0), counts.get(1, 0)))
+    texts = docs.where(F.length("text") <= chars).select("doc_id", "text").join(sample, "doc_id").orderBy("doc_id", "text").limit(2 * rows)
+    totals = (counts.get(0, 0), counts.get(1, 0))
+
+    def learn(batches):
+        got = [(t, c) for batch in batches for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        m = train([t for t, _ in got], [c for _, c in got], totals)
+        weights = None if m.weights is None else m.weights.astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.offset))], names=["weights", "bias", "slope", "offset"])
+
+    # one task learns from the bounded sample, so the driver only sees the weights
+    r = texts.select("text", "toxic").repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, offset double").first()
+    if r is None:
+        return train([], [], totals)
+    return Model(None if r.weights is None else np.frombuffer(bytes(r.weights), dtype=np.float32), r.bias, r.slope, r.offset)
 
 
 def score(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> DataFrame:
