@@ -32,9 +32,9 @@ TILE = 4096
 #: Buckets up to this size are compared together, pair by pair; larger ones as blocks of queries against all planes.
 SMALL = 24
 
-#: For documents alike to 0.8: words in a shingle, fingerprints side by side, bits that may differ (measured: 99 of 100 pairs at
-#: that similarity differ in fewer), bins of minima and bands of them that propose pairs.
-NEAR_WORDS, NEAR_SIMILARITY, WIDE, NEAR_RADIUS, BINS, BANDS = 5, 0.8, 4, 48, 100, 20
+#: For documents alike to 0.8: words in a shingle, fingerprints side by side, bits that may differ for a pair to be proposed (pairs
+#: at that similarity were measured at 56 or fewer), bins of minima and bands of them that propose pairs.
+NEAR_WORDS, NEAR_SIMILARITY, WIDE, NEAR_RADIUS, BINS, BANDS = 5, 0.8, 4, 64, 100, 20
 TURNS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -274,28 +274,104 @@ def _linked(prints: DataFrame, words: list[str], buckets, radius: int, tile: int
     return dealt.mapInArrow(bucket_links(radius), "a long, b long")
 
 
-def copies(docs: DataFrame, doc_id="doc_id", text="text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
-    """doc_id, component_id over documents whose word shingles are alike to NEAR_SIMILARITY or more.
+def _alike(sets: list[bytes], similarity: float) -> np.ndarray:
+    """The least member of each member's component, for links of a Jaccard similarity of at least that.
 
-    Five-word shingles of that similarity agree on about 85 % of SimHash bits, too few for an exact search by blocks of bits.  So
-    WIDE fingerprints are laid side by side and their bit-sliced distance decides; pairs are proposed by bands of the least
-    shingle hashes, of which two documents at the similarity share one with probability 0.9996.
+    A member is compared with every later one that is not yet in its component, so no link that matters is left out.
+    """
+    n = len(sets)
+    size = np.array([len(s) // 8 for s in sets])
+    start = np.concatenate(([0], np.cumsum(size)))
+    tokens, token = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_inverse=True)
+    root, mark = np.arange(n), np.zeros(len(tokens), dtype=bool)
+    for q in range(n - 1):
+        least, most = np.minimum(size, size[q]), np.maximum(size, size[q])
+        rows = q + 1 + np.flatnonzero((root[q + 1 :] != root[q]) & (least[q + 1 :] >= similarity * most[q + 1 :] - 1e-9) & (size[q + 1 :] > 0))
+        if not len(rows) or not size[q]:
+            continue
+        own = token[start[q] : start[q + 1]]
+        mark[own] = True
+        at = np.concatenate(([0], np.cumsum(size[rows])))
+        common = np.add.reduceat(mark[token[np.arange(at[-1]) + np.repeat(start[rows] - at[:-1], size[rows])]].astype(np.int64), at[:-1])
+        mark[own] = False
+        for r in np.unique(root[rows[common >= similarity * (size[q] + size[rows] - common) - 1e-9]]):
+            low, high = sorted((int(r), int(root[q])))
+            root[root == high] = low
+    return root
+
+
+def confirmed_links(similarity: float):
+    """Arrow batches of (bucket, id, shingles), all of a bucket together -> (a, b) ids, a spanning forest of each bucket's links."""
+
+    def links(ids, sets):
+        root = _alike(sets, similarity)
+        at = np.flatnonzero(root != np.arange(len(root)))
+        ids = np.array(ids, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["a", "b"])
+
+    def run(batches):
+        now, ids, sets = None, [], []
+        for batch in batches:
+            for bucket, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if len(ids) > 1:
+                        yield links(ids, sets)
+                    now, ids, sets = bucket, [], []
+                ids.append(i)
+                sets.append(s)
+        if len(ids) > 1:
+            yield links(ids, sets)
+
+    return run
+
+
+def _confirmed(docs: DataFrame, proposed: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+    """Of documents (doc_id, body) and their proposed groups (node, root): the links of that similarity, as forests of the groups.
+
+    Groups beyond a tile are split into two parts against each other, as hot buckets are.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2), batch.column(3)], names=["id", "shingles", "root", "n"])
+
+    sizes = proposed.groupBy("root").agg(F.count("*").alias("n"))
+    members = written(proposed.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "n"), "proposed")
+    rows = docs.join(members, "doc_id").select("doc_id", "body", "root", "n").mapInArrow(run, "id long, shingles binary, root long, n long")
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    split = rows.withColumn("mine", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    split = split.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "id", "shingles")
+    dealt = split.repartition("bucket").sortWithinPartitions("bucket", "id")
+    return dealt.mapInArrow(confirmed_links(similarity), "a long, b long")
+
+
+def copies(docs: DataFrame, doc_id="doc_id", text="text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, similarity: float = NEAR_SIMILARITY, tile: int = TILE) -> DataFrame:
+    """doc_id, component_id over documents that are linked by word shingles alike to the similarity or more.
+
+    Five-word shingles of NEAR_SIMILARITY agree on about 85 % of SimHash bits, too few for an exact search by blocks of bits.  So
+    groups are proposed: by bands of the least shingle hashes, of which two documents at the similarity share one with probability
+    0.9996, and by the bit-sliced distance of WIDE fingerprints side by side.  Within a group the exact Jaccard similarity of the
+    shingle sets decides.  Texts with the same set are one row from the start; those without words are alike.
     """
     names = [f"fp{k}" for k in range(WIDE)]
+    same = ["set0", "set1"]
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)]
+            hashes = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words)) for t in batch.column(1)]
             columns = zip(*map(wide_fingerprint, hashes), strict=True) if hashes else [[]] * WIDE
+            sets = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in hashes), dtype=np.int64).reshape(-1, 2)
             keys = pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), keys], names=["doc_id", *names, "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *map(pa.array, sets.T.copy()), keys], names=["doc_id", *names, *same, "bands"])
 
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    prints = written(source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>"), "wide")
-    distinct = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "distinct")
-    roots = components(_linked(distinct, names, F.col("bands"), radius, TILE), "a", "b")
-    rooted = written(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*names, F.coalesce("root", "id").alias("component_id"), "n"), "rooted")
-    return join_counted(prints.drop("bands"), rooted, names, "n", prints.count()).select("doc_id", "component_id")
+    prints = written(source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names + same) + ", bands array<long>"), "wide")
+    distinct = written(prints.groupBy(*same, *names).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "distinct")
+    proposed = components(_linked(distinct, names, F.col("bands"), radius, tile), "a", "b")
+    roots = components(_confirmed(source, proposed, words, similarity, tile), "a", "b")
+    rooted = written(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("root", "id").alias("component_id"), "n"), "rooted")
+    return join_counted(prints.select("doc_id", *same), rooted, same, "n", prints.count()).select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -30,6 +30,30 @@ def test_copies_by_brute_force(spark):
             assert jaccard(texts[i], texts[got[i]]) > 0.5
 
 
+def test_copies_confirm_by_exact_similarity(spark):
+    rng = random.Random(12)
+    texts = []
+    for g in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(3)):
+            w = list(base)
+            for _ in range(rng.choice([1, 3, 5, 6, 7, 8, 10, 13])):
+                w[rng.randrange(200)] = f"e{rng.randrange(4000)}"
+            texts.append(" ".join(w))
+    texts.append(" ".join(texts[0].split()[:60]) + " " + " ".join(["again and again it goes"] * 200))
+    texts.append(" ".join(texts[1].split()[:60]) + " " + " ".join(["again and again it goes"] * 200))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    for tile in (simhash.TILE, 2):
+        assert {r.doc_id: r.component_id for r in simhash.copies(docs, tile=tile).collect()} == dict(enumerate(root))
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
