@@ -56,14 +56,15 @@ def complements(edges: DataFrame) -> DataFrame:
 def semantic_candidates(hits: DataFrame, labels: DataFrame, least: float = 0.7, snippet: int = 500) -> DataFrame:
     """First node of a later book that a node's retrieved snippet names.
 
-    hits(book_id, label, chunk_id, score, content), labels(book_id, label): shared tokens propose the pairs, containment decides.
+    hits(book_id, label, chunk_id, score, content), labels(book_id, label): a label's first four characters propose the pairs,
+    containment decides.
     """
     head = F.substring("content", 1, snippet)
-    token = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != ""))).alias("token")
-    h = hits.where((F.col("score") >= least) & (F.length("label") >= 4)).select(F.col("book_id").alias("b1"), F.col("label").alias("l1"), "chunk_id", "score", head.alias("head"))
-    l = labels.where(F.length("label") >= 4).select(F.col("book_id").alias("b2"), F.col("label").alias("l2"))  # noqa: E741
-    pairs = h.select("*", token(F.col("head"))).join(l.withColumn("token", F.get(F.filter(F.split(F.lower("l2"), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != ""), F.lit(0))), "token")
-    found = pairs.where((F.col("b2") > F.col("b1")) & F.contains("head", "l2") & (F.col("l1") != F.col("l2"))).drop("token", "head").distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(head) - 3, F.lit(1))), lambda i: F.substr(head, i, F.lit(4))))
+    h = hits.where((F.col("score") >= least) & (F.length("label") >= 4)).select(F.col("book_id").alias("b1"), F.col("label").alias("l1"), "chunk_id", "score", head.alias("head"), grams.alias("grams"))
+    l = labels.where(F.length("label") >= 4).select(F.col("book_id").alias("b2"), F.col("label").alias("l2"), F.substring("label", 1, 4).alias("gram"))  # noqa: E741
+    pairs = h.withColumn("gram", F.explode("grams")).drop("grams").join(l, "gram")
+    found = pairs.where((F.col("b2") > F.col("b1")) & F.contains("head", "l2") & (F.col("l1") != F.col("l2"))).select("b1", "l1", "chunk_id", "score", "b2", "l2").distinct()
     best = Window.partitionBy("b1", "l1").orderBy(F.desc("score"), "chunk_id", "b2", "l2")
     return found.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 

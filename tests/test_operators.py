@@ -207,3 +207,9 @@ def test_rebuild(spark, tmp_path):
     assert out["report"].first().nodes_after < out["report"].first().nodes_before and out["essence"].count() == len(nodes)
     writers.write_index(chunks.withColumnRenamed("path", "chunk_id"), str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index/terms")).count() > 0
+
+
+def test_semantic_candidates_inside_words(spark):
+    hits = spark.createDataFrame([("a", "心肌细胞结构", 1, 0.9, "关于心肌细胞膜的结构"), ("a", "heart organ", 2, 0.8, "the cardiology of it"), ("a", "else", 3, 0.6, "none else")], "book_id string, label string, chunk_id long, score double, content string")
+    labels = spark.createDataFrame([("b", "心肌细胞"), ("c", "cardio"), ("c", "none"), ("a", "心肌细胞膜")], "book_id string, label string")
+    assert {(r.chunk_id, r.b2, r.l2) for r in merge.semantic_candidates(hits, labels).collect()} == {(1, "b", "心肌细胞"), (2, "c", "cardio")}
