@@ -53,8 +53,10 @@ def complements(edges: DataFrame) -> DataFrame:
     return lacking.groupBy("book_id", "other", "source").agg(F.count("*").alias("missing")).withColumn("confidence", F.lit(0.7))
 
 
-def semantic_candidates(hits: DataFrame, labels: DataFrame, least: float = 0.7, snippet: int = 500) -> DataFrame:
-    """First node of a later book that a node's retrieved snippet names.
+def semantic_candidates(hits: DataFrame, labels: DataFrame, least: float = 0.7, snippet: int = 500, auto: float = 0.85) -> DataFrame:
+    """For each retrieved snippet of a node the first node of a later book that it names, each pair once by its best score.
+
+    Chunks are taken by falling score; a pair that one of auto or more has given is passed over in the next ones.
 
     hits(book_id, label, chunk_id, score, content), labels(book_id, label): a label's first four characters propose the pairs,
     containment decides.
@@ -65,8 +67,19 @@ def semantic_candidates(hits: DataFrame, labels: DataFrame, least: float = 0.7,
     l = labels.where(F.length("label") >= 4).select(F.col("book_id").alias("b2"), F.col("label").alias("l2"), F.substring("label", 1, 4).alias("gram"))  # noqa: E741
     pairs = h.withColumn("gram", F.explode("grams")).drop("grams").join(l, "gram")
     found = pairs.where((F.col("b2") > F.col("b1")) & F.contains("head", "l2") & (F.col("l1") != F.col("l2"))).select("b1", "l1", "chunk_id", "score", "b2", "l2").distinct()
-    best = Window.partitionBy("b1", "l1").orderBy(F.desc("score"), "chunk_id", "b2", "l2")
-    return found.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    named = found.groupBy("b1", "l1", "chunk_id", "score").agg(F.array_sort(F.collect_list(F.struct("b2", "l2"))).alias("named"))
+    chunks = named.groupBy("b1", "l1").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "chunk_id", "score", "named"))).alias("chunks"))
+    kind = "array<struct<b2:string,l2:string,chunk_id:%s,score:double>>" % named.schema["chunk_id"].dataType.simpleString()
+
+    def take(held, c):
+        sure = F.transform(F.filter(held, lambda x: x.score >= auto), lambda x: F.struct(x.b2.alias("b2"), x.l2.alias("l2")))
+        free = F.slice(F.filter(c.named, lambda m: ~F.array_contains(sure, m)), 1, 1)
+        new = F.transform(free, lambda m: F.struct(m.b2.alias("b2"), m.l2.alias("l2"), c.chunk_id.alias("chunk_id"), c.score.cast("double").alias("score")))
+        return F.concat(held, new).cast(kind)
+
+    held = chunks.select("b1", "l1", F.explode(F.aggregate("chunks", F.array().cast(kind), take)).alias("x")).select("b1", "l1", "x.*")
+    best = Window.partitionBy("b1", "l1", "b2", "l2").orderBy(F.desc("score"), "chunk_id")
+    return held.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
 def verdicts(candidates: DataFrame, auto: float = 0.85, replies: DataFrame | None = None) -> DataFrame:

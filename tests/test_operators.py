@@ -213,3 +213,9 @@ def test_semantic_candidates_inside_words(spark):
     hits = spark.createDataFrame([("a", "心肌细胞结构", 1, 0.9, "关于心肌细胞膜的结构"), ("a", "heart organ", 2, 0.8, "the cardiology of it"), ("a", "else", 3, 0.6, "none else")], "book_id string, label string, chunk_id long, score double, content string")
     labels = spark.createDataFrame([("b", "心肌细胞"), ("c", "cardio"), ("c", "none"), ("a", "心肌细胞膜")], "book_id string, label string")
     assert {(r.chunk_id, r.b2, r.l2) for r in merge.semantic_candidates(hits, labels).collect()} == {(1, "b", "心肌细胞"), (2, "c", "cardio")}
+
+
+def test_semantic_candidates_over_chunks(spark):
+    hits = spark.createDataFrame([("a", "node", 1, 0.9, "alpha beta"), ("a", "node", 2, 0.88, "alpha beta gamma"), ("a", "node", 3, 0.75, "delta"), ("a", "node", 4, 0.72, "delta gamma")], "book_id string, label string, chunk_id long, score double, content string")
+    labels = spark.createDataFrame([("b", "alpha"), ("b", "beta"), ("c", "delta"), ("d", "gamma")], "book_id string, label string")
+    assert {(r.chunk_id, r.b2, r.l2) for r in merge.semantic_candidates(hits, labels).collect()} == {(1, "b", "alpha"), (2, "b", "beta"), (3, "c", "delta")}
