@@ -20,16 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared checkpoint folder; a local one is set only where the session has none."""
+    """A new folder name under the shared checkpoint folder, removed at the latest when the driver ends.
+
+    A temporary folder is set only where a session in local mode has none; on a cluster it would be another disk on every machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -46,6 +54,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            remove(t.sparkSession, path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,14 +1,17 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents.  Its words become symbols; words that no benchmark window uses are breaks, and
-stretches shorter than the shortest window cannot hold a match, so the index covers only the rest and loses nothing.
-All windows are searched backwards at once through the ranks of a wavelet matrix; matches are located by walking to
-the nearest sampled suffix, and the covered words merge into removal spans.
-
-The benchmark comes in blocks of bounded size.  Each block is a stated query set run against all documents.
-
-Nulls and empty texts have no words and no hits; repeated document rows each return a row; an empty benchmark or
-document table gives no hits or no rows; columns other than the named ones are ignored.
+A shard is a run of documents.  Its words become symbols; words that no benchmark item uses are breaks, and stretches
+shorter than the shortest window cannot hold a match, so the index covers only the rest and loses nothing.  The benchmark
+comes in blocks of bounded size, all of which are searched one after another on the one index of a shard: the windows of a
+block go backwards together through the ranks of a wavelet matrix, matches are located by walking to the nearest sampled
+suffix, and the covered words merge into removal spans.
+
+Words are compared by 64-bit hashes, under a seed with which the words of each block have no collision; a document word that
+collides with a benchmark word is found out where windows are located, as their words themselves are compared.
+
+Rows are never joined to their results: a task returns every row it gets, in order.  Nulls and empty texts have no words and
+no hits; rows that share an id, or have none, are judged each by its own text; repeated rows each return a row; an empty
+benchmark or document table gives no hits or no rows; other columns are carried along (removed) or ignored (contamination).
 """
 
 from __future__ import annotations
@@ -18,20 +21,24 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words in a window.
 WINDOW = 10
-#: Characters of benchmark text that one pass over the documents may carry to the workers.
-BLOCK_CHARS = 16_000_000
-#: Words in a shard.
-SHARD_WORDS = 1_000_000
+#: Characters of benchmark text in a block, which is what the driver and a task hold of it at once.
+BLOCK_CHARS = 4_000_000
+#: Distinct benchmark words up to which they are broadcast (8 bytes each) to break texts; beyond, every word is indexed.
+KNOWN_WORDS = 8_000_000
+#: Words in a shard, and bytes of text and other columns that a shard gathers at most before its last row.
+SHARD_WORDS, SHARD_BYTES = 1_000_000, 16_000_000
 #: Every so many text positions keep their suffix position.
 SAMPLE = 8
 
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
+SEEDS = 64
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
@@ -40,24 +47,38 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
-class Windows:
-    """The distinct windows of a block of items, over word symbols from 2 upwards."""
+def hashed(words: list[bytes], seed: int) -> np.ndarray:
+    """A number from 2 upwards for each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), dtype=np.uint64, count=len(words)) | np.uint64(2)
+
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words_of(text)]
-            for i in range(max(len(ids) - size, 0) + 1 if ids else 0):
-                owners.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []  # window numbers, their symbols
-        self.lengths = np.array([len(w) for w in owners], dtype=np.int64)
-        self.owners = [sorted(x) for x in owners.values()]
-        rows = list(owners)
-        for n in sorted(set(self.lengths.tolist())):
-            at = np.flatnonzero(self.lengths == n)
-            self.by_length.append((at, np.array([rows[i] for i in at], dtype=np.int64)))
-        self.least = int(self.lengths.min()) if len(rows) else 0
+def block_of(items: list[tuple[str, bytes]], seed: int, size: int = WINDOW) -> dict | None:
+    """The distinct windows of some items as plain arrays; None if two of their words collide.
+
+    by_length: for each window length the window numbers and their words' hashes; owner_at, owners: the items of each window;
+    first: item and word where a window is first found, to compare its words themselves.
+    """
+    words = [words_of(t) for _, t in items]
+    every = {w for ws in words for w in ws}
+    if len(np.unique(hashed(list(every), seed))) < len(every):
+        return None
+    owner, place, by_length, count = [], [], [], 0
+    for n in sorted({min(len(ws), size) for ws in words} - {0}):
+        mine = [i for i, ws in enumerate(words) if min(len(ws), size) == n]
+        h = [hashed(words[i], seed) for i in mine]
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, n) for x in h])
+        item = np.repeat(mine, [len(x) - n + 1 for x in h])
+        at = np.concatenate([np.arange(len(x) - n + 1) for x in h])
+        _, first, same = np.unique(np.ascontiguousarray(rows).view([("", np.uint64)] * n).ravel(), return_index=True, return_inverse=True)
+        by_length.append((count + np.arange(len(first)), rows[first]))
+        pairs = np.unique(np.stack((same.ravel() + count, item)), axis=1)
+        owner.append(pairs)
+        place.append(np.stack((item[first], at[first])))
+        count += len(first)
+    if not count:
+        return {"items": [], "texts": [], "by_length": [], "owner_at": np.zeros(1, dtype=np.int64), "owners": np.zeros(0, dtype=np.int64), "first": np.zeros((2, 0), dtype=np.int64)}
+    pairs = np.concatenate(owner, axis=1)
+    return {"items": [i for i, _ in items], "texts": [t for _, t in items], "by_length": by_length, "owner_at": np.searchsorted(pairs[0], np.arange(count + 1)), "owners": pairs[1], "first": np.concatenate(place, axis=1)}
 
 
 class FMIndex:
@@ -141,39 +162,62 @@ class FMIndex:
         return found
 
 
-def scan_shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, set[int]]]:
-    """For each document, given as word symbols (0: in no window): which words are hit, and by which windows."""
+def found_in(value: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted table, and whether they are there."""
+    at = np.minimum(np.searchsorted(table, value), max(len(table) - 1, 0))
+    return at, table[at] == value if len(table) else np.zeros(value.shape, dtype=bool)
+
+
+def scan_shard(docs: list[list[bytes]], blocks, known: np.ndarray | None, seed: int, least: int) -> list[tuple[np.ndarray, set[str]]]:
+    """For each document, given as its words: which words are hit, and the items whose windows hit them.
+
+    blocks yields the blocks of the benchmark; known are the sorted hashes of its words, None if any word may be one; least is
+    the length of its shortest window.
+    """
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))  # a break after each document
-    words = np.zeros(int(starts[-1]), dtype=np.int64)
+    cover, found = np.zeros(int(starts[-1]) + 1, dtype=np.int64), [set() for _ in docs]
+    word = np.zeros(int(starts[-1]), dtype=np.uint64)
     for d, a in zip(docs, starts.tolist(), strict=False):
-        words[a : a + len(d)] = d
-    inside = np.diff(np.concatenate(([0], (words != 0).astype(np.int8), [0])))
+        word[a : a + len(d)] = hashed(d, seed)
+    if known is not None:
+        word[~found_in(word, known)[1]] = 0
+    inside = np.diff(np.concatenate(([0], (word != 0).astype(np.int8), [0])))
     begin, end = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
-    keep = end - begin >= windows.least
+    keep = end - begin >= least
     begin, end = begin[keep], end[keep]
-    found: list[set[int]] = [set() for _ in docs]
-    cover = np.zeros(len(words) + 1, dtype=np.int64)
-    if windows.least and len(begin):
+    if least and len(begin):
         size = end - begin + 1  # with the separator 1
         offset = np.cumsum(size) - size
         origin = np.repeat(begin - offset, size) + np.arange(int(size.sum()))
-        s = np.append(words[origin], 0)
-        s[offset + size - 1] = 1
+        inner = np.ones(len(origin), dtype=bool)
+        inner[offset + size - 1] = False
+        table, rank = np.unique(word[origin[inner]], return_inverse=True)
+        s = np.ones(len(origin) + 1, dtype=np.int64)
+        s[:-1][inner] = rank.ravel() + 2
+        s[-1] = 0
         index = FMIndex(s)
-        present = np.zeros(len(windows.vocab) + 2, dtype=bool)
-        present[s] = True
-        for numbers, patterns in windows.by_length:
-            some = np.all(present[patterns], axis=1)
-            lo, hi = index.search(patterns[some])
-            count = hi - lo
-            rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            at = origin[index.locate(rows)]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + patterns.shape[1], -1)
-            doc = np.searchsorted(starts, at, side="right") - 1
-            for d, w in set(zip(doc.tolist(), np.repeat(numbers[some], count).tolist(), strict=True)):
-                found[d].add(w)
+        for block in blocks():
+            told: dict[int, list[bytes]] = {}
+            for numbers, patterns in block["by_length"]:
+                at, there = found_in(patterns, table)
+                some = there.all(axis=1)
+                lo, hi = index.search(at[some] + 2)
+                count = hi - lo
+                rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                at, window, n = origin[index.locate(rows)], np.repeat(numbers[some], count), patterns.shape[1]
+                doc = np.searchsorted(starts, at, side="right") - 1
+                true = np.zeros(len(at), dtype=bool)
+                for k, (p, w, d) in enumerate(zip(at.tolist(), window.tolist(), doc.tolist(), strict=True)):
+                    item, i = block["first"][:, w].tolist()
+                    if item not in told:
+                        told[item] = words_of(block["texts"][item])
+                    p -= int(starts[d])
+                    true[k] = docs[d][p : p + n] == told[item][i : i + n]
+                np.add.at(cover, at[true], 1)
+                np.add.at(cover, at[true] + n, -1)
+                for d, w in set(zip(doc[true].tolist(), window[true].tolist(), strict=True)):
+                    found[d].update(block["items"][o] for o in block["owners"][block["owner_at"][w] : block["owner_at"][w + 1]])
     hit = np.cumsum(cover)[:-1] > 0
     return [(hit[a : a + n], f) for a, n, f in zip(starts.tolist(), sizes.tolist(), found, strict=False)]
 
@@ -185,103 +229,124 @@ def hit_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-def _scan(windows: Windows):
-    def run(batches):
-        kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-        get = windows.vocab.get
+def _shards(batches, column: int):
+    """Arrow batches gathered into shards: (batches, texts as bytes, None where null)."""
+    held, texts, size, words = [], [], 0, 0
+    for batch in batches:
+        begin = 0
+        for i, t in enumerate(batch.column(column)):
+            body = t.as_buffer().to_pybytes() if t.is_valid else None
+            texts.append(body)
+            size += len(body or b"")
+            words += (body or b"").count(b" ") + 1
+            if words >= SHARD_WORDS or size >= SHARD_BYTES:
+                yield [*held, batch.slice(begin, i + 1 - begin)], texts
+                held, texts, size, words, begin = [], [], 0, 0, i + 1
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if texts:
+        yield held, texts
+
+
+def _benchmark(spark, benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> dict:
+    """Broadcasts of the benchmark: its blocks one by one, and its known words."""
+    bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("body")).where("item is not null and body is not null")
+    bench = bench.select("item", "body", F.octet_length("body").alias("size"))
+    for seed in range(SEEDS):
+        blocks, known, lengths, part, size = [], [np.zeros(0, dtype=np.uint64)], set(), [], 0
+
+        def flush(part, seed=seed, blocks=blocks, known=known, lengths=lengths):
+            block = block_of(part, seed)
+            if block is None:
+                return False
+            blocks.append(spark.sparkContext.broadcast(block))
+            lengths.update(p.shape[1] for _, p in block["by_length"])
+            if known[0] is not None:
+                known[0] = np.union1d(known[0], np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(p.ravel() for _, p in block["by_length"])])))
+                if len(known[0]) > KNOWN_WORDS:
+                    known[0] = None
+            return True
+
+        fine = True
+        for r in bench.toLocalIterator():
+            part.append((r.item, bytes(r.body)))
+            size += r.size
+            if size >= block_chars:
+                fine, part, size = flush(part), [], 0
+                if not fine:
+                    break
+        fine = fine and (not part or flush(part))
+        if fine:
+            return {"blocks": blocks, "known": spark.sparkContext.broadcast(known[0]), "seed": seed, "least": min(lengths, default=0)}
+        for b in blocks:
+            b.destroy()
+    raise RuntimeError(f"benchmark words collide under each of {SEEDS} seeds")
+
+
+def _search(held: dict):
+    """texts -> words and (hit, items) of each; what is broadcast is read in the task."""
+    blocks, known, seed, least = held["blocks"], held["known"], held["seed"], held["least"]
+
+    def one_by_one():
+        for b in blocks:
+            yield b.value
+            if len(blocks) > 1:
+                b.__dict__.pop("_value", None)  # so that a task holds one block at a time
+
+    def run(texts):
+        docs = [words_of(t) if t else [] for t in texts]
+        return list(zip(docs, scan_shard(docs, one_by_one, known.value, seed, least), strict=True))
 
-        def flush(ids, texts, docs):
+    return run
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", block_chars=BLOCK_CHARS) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, items (sorted ids as strings), spans (byte offsets of the UTF-8 text)."""
+    search = _search(_benchmark(docs.sparkSession, benchmark, item_id, item_text, block_chars))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+
+    def run(batches):
+        for held, texts in _shards(batches, 1):
+            ids = [i for b in held for i in b.column(0).to_pylist()]
             rows = []
-            for i, text, d, (hit, found) in zip(ids, texts, docs, scan_shard(docs, windows), strict=True):
+            for i, t, (words, (hit, items)) in zip(ids, texts, search(texts), strict=True):
                 n = int(hit.sum())
-                items = sorted({o for w in found for o in windows.owners[w]})
-                rows.append((i, len(d), n, items, hit_spans(text, hit) if n else []))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-
-        ids, texts, docs, held = [], [], [], 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_buffer().to_pybytes() if text.is_valid else b""
-                words = words_of(text)
-                ids.append(i)
-                texts.append(text)
-                docs.append(np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words)))
-                held += len(words)
-                if held >= SHARD_WORDS:
-                    yield flush(ids, texts, docs)
-                    ids, texts, docs, held = [], [], [], 0
-        if ids:
-            yield flush(ids, texts, docs)
+                rows.append((i, len(words), n, sorted(items), hit_spans(t, hit) if n else []))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    return run
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body")).mapInArrow(run, SCHEMA)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", block_chars=BLOCK_CHARS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted ids as strings), spans (byte offsets of the UTF-8 text).
+def removed(docs: DataFrame, benchmark: DataFrame, text="text", chars="n_chars", item_id="item_id", item_text="text", block_chars=BLOCK_CHARS) -> DataFrame:
+    """docs, all rows and columns, with what occurs in the benchmark cut out of the texts; the column `chars`, if there is one, follows."""
+    search = _search(_benchmark(docs.sparkSession, benchmark, item_id, item_text, block_chars))
+    names = docs.columns
+    at = names.index(text)
+    count = names.index(chars) if chars in names else None
 
-    block_chars bounds what one pass carries of the benchmark; further blocks are further passes, summed per document
-    by taking their union of spans - so with more than one block n_hit is counted again from the merged spans.
-    """
-    bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("body")).where("item is not null and body is not null")
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    blocks = -(-max(total, 1) // block_chars)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    passes = []
-    for k in range(blocks):
-        some = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else bench
-        windows = Windows([(r.item, bytes(r.body)) for r in some.toLocalIterator()])
-        held = docs.sparkSession.sparkContext.broadcast(windows)
-        passes.append(source.mapInArrow(lambda batches, held=held: _scan(held.value)(batches), SCHEMA))
-    if blocks == 1:
-        return passes[0]
-    return _merged(source, passes)
-
-
-def _merged(source: DataFrame, passes: list[DataFrame]) -> DataFrame:
-    """The union of what several passes found, one row per distinct document row."""
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    spans = every.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-
-    def recount(batches):
-        for batch in batches:
-            t, hits, merged = batch.to_pydict(), [], []
-            for body, sp in zip(t["body"], t["spans"], strict=True):
-                at = [m.span() for m in WORD.finditer(body.translate(WORD_TABLE))]
-                hit = np.zeros(len(at), dtype=bool)
-                first, last = [a for a, _ in at], [b for _, b in at]
-                for s in sp:
-                    hit[np.searchsorted(first, s["start"]) : np.searchsorted(last, s["end"]) + 1] = True
-                hits.append(int(hit.sum()))
-                merged.append(hit_spans(body, hit))
-            out = pa.table({"doc_id": pa.array(t["doc_id"], pa.int64()), "n_words": pa.array(t["n_words"], pa.int64()), "n_hit": pa.array(hits, pa.int64()), "items": pa.array(t["items"], pa.list_(pa.string())), "spans": pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
-            yield from out.to_batches()
-
-    # repeated document rows with one id and other texts would mix their spans, so blocks need unique ids
-    return source.join(spans, "doc_id").select("doc_id", "n_words", "items", "spans", "body").mapInArrow(recount, SCHEMA)
-
-
-def removed(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents with the spans that occur in the benchmark cut out of their texts; n_chars follows the text."""
-    found = contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "spans").dropDuplicates(["doc_id"])
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
-        def one(t, sp):
-            if sp is None or t is None:
-                return t
-            b, at, out = t.encode(), 0, []
-            for s in sp:
-                out.append(b[at : s["start"]])
-                at = s["end"]
-            return b"".join([*out, b[at:]]).decode()
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    joined = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return joined.select(*docs.columns)
+    def run(batches):
+        for held, texts in _shards(batches, at):
+            cut: list[str | None] = []
+            for t, (_, (hit, _items)) in zip(texts, search(texts), strict=True):
+                if hit.any():
+                    parts, begin = [], 0
+                    for s in hit_spans(t, hit):
+                        parts.append(t[begin : s["start"]])
+                        begin = s["end"]
+                    t = b"".join([*parts, t[begin:]])
+                    cut.append(t.decode())
+                else:
+                    cut.append(None)
+            begin = 0
+            for batch in held:
+                some = cut[begin : begin + batch.num_rows]
+                begin += batch.num_rows
+                if any(c is not None for c in some):
+                    columns = list(batch.columns)
+                    columns[at] = pa.array([t.as_py() if c is None else c for t, c in zip(columns[at], some, strict=True)], columns[at].type)
+                    if count is not None:
+                        columns[count] = pa.array([n.as_py() if c is None else len(c) for n, c in zip(columns[count], some, strict=True)], columns[count].type)
+                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                yield batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,9 +25,11 @@ ODD = [None, "", " ", "\n\n", "a" * 5000, "same text here for all of us", "same
 
 @pytest.fixture()
 def odd(spark):
-    """Documents with odd texts, a null id, a repeated row and extra columns with clashing names."""
-    rows = [(i, t, "en", "src0", "extra", 1) for i, t in enumerate(ODD)] + [(None, "no id at all", None, None, None, None), (5, ODD[5], "en", "src0", "extra", 1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string, n_lines int")
+    """Documents with odd texts, a null id, a repeated row and extra columns with the names of results and working columns."""
+    names = ["kept", "__text", "spans", "row", "id", "key", "body", "line", "batch", "root", "n", "m", "page", "kind", "lower", "score", "items", "fp", "bin_id", "bands", "component_id"]
+    more = ["extra"] * len(names)
+    rows = [(i, t, "en", "src0", 1, 2, *more) for i, t in enumerate(ODD)] + [(None, "no id at all", None, None, None, None, *([None] * len(names))), (5, ODD[5], "en", "src0", 1, 2, *more)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_lines int, n_dropped int, " + ", ".join(f"{n} string" for n in names))
 
 
 @pytest.fixture()

@@ -44,12 +44,39 @@ def corpus(seed):
 
 def test_matches_brute_force(spark):
     docs, bench = corpus(1)
-    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, items string").repartition(3)
+    # rows that share an id or have none, equal texts, repeated rows
+    docs += [(7, docs[3][1]), (7, docs[9][1]), (7, docs[3][1]), (None, docs[11][1]), (None, docs[12][1]), (None, docs[12][1]), (905, docs[11][1])]
+    d = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(docs)], "doc_id long, text string, items string, n_chars long").repartition(3)
     b = spark.createDataFrame(bench, "item_id long, text string")
+    want = slow(list(enumerate(t for _, t in docs)), bench)
+    expect = sorted(((i is None, i or 0), *want[k]) for k, (i, _) in enumerate(docs))
+    for blocks in (D.BLOCK_CHARS, 900, 1):
+        got = [((r.doc_id is None, r.doc_id or 0), r.n_words, r.n_hit, r.items) for r in D.contamination(d, b, block_chars=blocks).collect()]
+        assert sorted(got) == expect
+        cut = D.removed(d, b, block_chars=blocks, chars="none").collect()
+        assert len(cut) == len(docs)
+        for r in cut:
+            assert (r.doc_id, r.items) == (docs[r.n_chars][0], "x") and len(words(r.text)) == want[r.n_chars][0] - want[r.n_chars][1]
+
+
+def test_collisions(spark, monkeypatch):
+    real = D.hashed
+    docs, bench = corpus(3)
     want = slow(docs, bench)
-    for blocks in (D.BLOCK_CHARS, 900):
-        for r in D.contamination(d, b, block_chars=blocks).collect():
-            assert (r.n_words, r.n_hit, r.items) == want[r.doc_id]
+    for seed in range(4):  # document words that collide with benchmark words hit nothing
+        block = D.block_of([(str(i), (t or "").encode()) for i, t in bench], seed)
+        assert block is not None
+        narrow = lambda w, s, seed=seed: np.array([x if x in real([b"the"], seed) else np.uint64(5) for x in real(w, s)], dtype=np.uint64)
+        monkeypatch.setattr(D, "hashed", narrow)
+        assert D.block_of([(str(i), (t or "").encode()) for i, t in bench], seed) is None
+        monkeypatch.setattr(D, "hashed", real)
+    few = [(1, "the of the of the")]
+    block = D.block_of([("1", few[0][1].encode())], 0)
+    crowd = lambda w, s: np.array([real([b"the"], 0)[0] if x == b"the" else real([b"of"], 0)[0] for x in w], dtype=np.uint64)
+    monkeypatch.setattr(D, "hashed", crowd)
+    known = np.sort(crowd([b"the", b"of"], 0))
+    (hit, items), (none, _) = D.scan_shard([D.words_of(b"x the of the of the"), D.words_of(b"the if the on the")], lambda: [block], known, 0, 5)
+    assert hit.tolist() == [False] + [True] * 5 and items == {"1"} and not none.any()
 
 
 def test_index_finds_every_place():
@@ -66,7 +93,9 @@ def test_index_finds_every_place():
 def test_odd_rows(spark, odd, none):
     b = spark.createDataFrame([(1, "same text here for all of us")], "item_id long, text string")
     got = {r.doc_id: r for r in D.contamination(odd, b).collect()}
-    assert got[5].n_hit == 7 and got[0].n_words == 0 and got[7].n_words == 5
+    assert got[5].n_hit == 7 and got[0].n_words == 0 and got[7].n_words == 5 and got[None].n_words == 4
     assert D.contamination(odd, b.limit(0)).count() == odd.count() and D.contamination(none, b).count() == 0
-    cut = {r.doc_id: r.text for r in D.removed(odd, b).collect()}
-    assert cut[5] == "" and cut[0] is None and cut[10] == "one"
+    cut = D.removed(odd, b)
+    assert cut.columns == odd.columns
+    cut = {r.doc_id: r for r in cut.collect()}
+    assert cut[5].text == "" and cut[0].text is None and cut[10].text == "one" and cut[None].text == "no id at all" and cut[4].kept == "extra"
