@@ -1,27 +1,32 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table with one row per line key - 128 hash bits, the number of documents, the largest doc_id - sorted
-by key inside hash partitions.  A new batch of lines is reduced to such rows, merge-anti-joined with the runs to tell keys
-never seen from further sightings, and written as a run of level 0.  FANOUT runs of a level are merged into one of the next,
-so a batch meets only a logarithmic number of runs and rewrites each entry that often.
+Documents come in batches by falling doc_id.  A run is a table of line keys (128 hash bits), each with the document that holds
+it, bucketed and sorted by key: a batch, which is reduced to such a table first, meets a run in a merge join without exchange
+or sort.  The merge anti-join of a batch against all runs finds the keys that no run has: they are new, their holder is the
+largest document of the batch with them - and so of all, as later batches have smaller ones - and they become a run of level 0.
+Keys that a run has only add to the number of documents that hold them.  So every key is in exactly one run.  Two runs of a
+level are compacted into one of the next by a merge of both, so that a batch meets only a logarithmic number of runs.
 
 Defined results: a null or empty text is one empty line; a document whose id is null counts as one document smaller
 than all others; rows with the same id count as one document, each row keeps or loses lines by that id; empty tables give
-empty results; columns other than doc_id and text are carried through or ignored.
+empty results; columns other than the text come back in the struct `row`, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, join_counted, remove, scratch, written
+from graphloom.llm.common import ascii_lower, dropped, join_counted, remove, scratch, shuffle_partitions, written
 
 #: Code points that a key must have, and documents that must hold it, before its lines go.
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Batches that documents are dealt into, and runs of one level that are merged.
-BATCHES, FANOUT = 4, 4
+#: Bytes of text in a batch, unless that made more than MOST_BATCHES; runs of one level that are compacted.
+BATCH_BYTES, MOST_BATCHES, FANOUT = 100_000_000, 16, 2
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 
@@ -37,58 +42,91 @@ def line_keys(docs: DataFrame, doc_id="doc_id", text="text", min_chars=MIN_CHARS
     return lines.select("doc_id", "body", "line", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
 
 
-class LineRuns:
-    """The levelled runs; their state is the list of run folders."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+@contextmanager
+def sorted_scans(spark: SparkSession):
+    """Let scans of bucketed tables say that a bucket of one file is sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def _write(self, entries: DataFrame) -> str:
-        path = scratch(self.spark, "line-run")
-        entries.sortWithinPartitions(*KEY).write.parquet(path)
-        return path
 
-    def entries(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema("k1 long, k2 long, n_docs long, last long, fresh boolean").parquet(*paths) if paths else None
+class LineRuns:
+    """The levelled runs (k1, k2, holder) and the batches (k1, k2, n_docs, last); their state is the list of tables."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.buckets = spark, shuffle_partitions(spark)
+        self.levels: list[list[str]] = [[]]
+        self.batches: list[str] = []
+        self.paths: dict[str, str] = {}
+
+    def _write(self, entries: DataFrame, what: str) -> str:
+        """A table in the shared folder; entries are hashed by key into as many partitions, so a bucket is one sorted file."""
+        name = f"line_{what}_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, f"line-{what}")
+        entries.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.paths[name]).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, self.paths.pop(name))
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def fresh(self, batch: str) -> DataFrame:
+        """The entries of a batch whose keys no run has."""
+        out = self.spark.table(batch)
+        for run in self.runs():
+            out = out.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        return out
+
+    def merged(self, a: str, b: str) -> DataFrame:
+        """Two runs as one; no key is in both."""
+        other = self.spark.table(b).withColumnRenamed("holder", "other").hint("merge")
+        return self.spark.table(a).join(other, KEY, "full_outer").select(*KEY, F.coalesce("holder", "other").alias("holder"))
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of line_keys.  No document may be in two batches.  Entries say whether the runs lacked their key."""
-        batch = lines.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last"))
-        held = self.entries()
-        if held is None:
-            batch = batch.withColumn("fresh", F.lit(True))
-        else:
-            batch = written(batch, "line-batch")
-            fresh = batch.join(held, KEY, "left_anti").withColumn("fresh", F.lit(True))
-            again = batch.join(held, KEY, "left_semi").withColumn("fresh", F.lit(False))
-            batch = fresh.unionByName(again)
-        self.levels[0].append(self._write(batch))
-        self._compact()
-
-    def _compact(self) -> None:
-        for k, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                merged = self._write(self.totals(self.spark.read.parquet(*level)))
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(merged)
-                self.levels[k] = []
-                for p in level:
-                    remove(self.spark, p)
-
-    @staticmethod
-    def totals(entries: DataFrame) -> DataFrame:
-        return entries.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+        """Add a batch of line_keys.  Its documents are smaller than those of the batches before."""
+        one = lines.select(*KEY, "doc_id").distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
+        batch = self._write(one, "batch")
+        with sorted_scans(self.spark):
+            self.levels[0].append(self._write(self.fresh(batch).select(*KEY, F.col("last").alias("holder")), "run"))
+            self.batches.append(batch)
+            for k, level in enumerate(self.levels):
+                if len(level) == FANOUT:
+                    if k + 1 == len(self.levels):
+                        self.levels.append([])
+                    self.levels[k + 1].append(self._write(self.merged(*level), "run"))
+                    for name in level:
+                        self._drop(name)
+                    level.clear()
 
     def repeated(self, min_docs: int) -> DataFrame:
-        return self.totals(self.entries()).where(F.col("n_docs") >= min_docs).drop("fresh")
+        """k1, k2, n_docs, holder of the keys that so many documents hold."""
+        every, runs = ([self.spark.table(n) for n in names] for names in (self.batches, self.runs()))
+        for rest in (every, runs):
+            while len(rest) > 1:
+                rest.append(rest.pop(0).unionByName(rest.pop(0)))
+        often = every[0].groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+        return often.join(runs[0], KEY).select(*KEY, "n_docs", "holder")
+
+    def close(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
 
 
-def lines_to_drop(docs: DataFrame, doc_id="doc_id", text="text", min_chars=MIN_CHARS, min_docs=MIN_DOCS, batches=BATCHES) -> DataFrame:
-    """doc_id (null: NO_ID), body, line of every line that goes."""
+def lines_to_drop(docs: DataFrame, doc_id="doc_id", text="text", min_chars=MIN_CHARS, min_docs=MIN_DOCS, batch_bytes=BATCH_BYTES) -> DataFrame:
+    """doc_id (null: NO_ID), body, lines (the numbers of those that go), of every document that loses any."""
     spark = docs.sparkSession
-    keyed = line_keys(docs, doc_id, text, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+    batches = max(1, min(-(-size // batch_bytes), MOST_BATCHES))
+    cuts = docs.select(F.col(doc_id).cast("long").alias("i")).agg(F.percentile_approx("i", [1 - k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts or []), F.lit(0))  # the largest documents come first
+    keyed = line_keys(docs, doc_id, text, min_chars).withColumn("batch", batch)
     path = scratch(spark, "lines")
     keyed.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(keyed.schema).parquet(path)
@@ -97,33 +135,42 @@ def lines_to_drop(docs: DataFrame, doc_id="doc_id", text="text", min_chars=MIN_C
         runs.add(lines.where(F.col("batch") == b).drop("batch"))
     # a key has more lines than documents only where a document repeats it; the largest holder bounds that
     bad = written(runs.repeated(min_docs), "line-keys")
-    total = lines.count()
-    hit = join_counted(lines.drop("batch"), bad, KEY, "n_docs", total)
-    return hit.where(F.col("doc_id") != F.col("last")).select("doc_id", "body", "line")
-
-
-def _cut(batches):
-    """Arrow batches of text and the sorted numbers of its lines that go -> the same with kept text and counts."""
-    for batch in batches:
-        gone = batch.column(1).to_pylist()
-        kept, total = [], []
-        for t, drop in zip(batch.column(0), gone, strict=True):
-            lines = t.as_py().split("\n")
-            total.append(len(lines))
-            if drop:
-                drop = set(drop)
-                lines = [x for i, x in enumerate(lines) if i not in drop]
-            kept.append("\n".join(lines))
-        out = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array([len(set(d or ())) for d in gone], pa.int64()), *batch.columns[2:]]
-        yield pa.RecordBatch.from_arrays(out, names=["kept", "n_lines", "n_dropped", *batch.schema.names[2:]])
+    runs.close()
+    hit = join_counted(lines.drop("batch"), bad, KEY, "n_docs", lines.count()).where(F.col("doc_id") != F.col("holder"))
+    out = written(hit.groupBy("doc_id", "body").agg(F.collect_set("line").alias("lines")), "line-drops")
+    dropped(bad)
+    remove(spark, path)
+    return out
+
+
+def _cut(at: int):
+    """Arrow batches of documents (struct) and the numbers of the lines that go -> the rest of the struct, kept text, counts."""
+
+    def run(batches):
+        for batch in batches:
+            fields = batch.column(0).flatten()
+            names = [f.name for f in batch.column(0).type]
+            text, gone = fields.pop(at), batch.column(1).to_pylist()
+            names.pop(at)
+            kept, total = [], []
+            for t, drop in zip(text, gone, strict=True):
+                lines = (t.as_py() or "").split("\n")
+                total.append(len(lines))
+                if drop:
+                    drop = set(drop)
+                    lines = [x for i, x in enumerate(lines) if i not in drop]
+                kept.append("\n".join(lines) if t.is_valid else None)
+            out = [pa.StructArray.from_arrays(fields, names), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array([len(d or ()) for d in gone], pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=["row", "kept", "n_lines", "n_dropped"])
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
-    """All columns of docs, with kept (the text without the lines that go), n_lines before dropping, n_dropped."""
-    drops = lines_to_drop(docs, doc_id, text, **how).groupBy("doc_id", "body").agg(F.collect_set("line").alias("__drop"))
-    drops = drops.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "__drop")
-    t = F.coalesce(F.col(text), F.lit(""))
-    left = docs.withColumns({"__text": t, "__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "__body": F.xxhash64(t)})
-    joined = left.join(drops, ["__id", "__body"], "left").select("__text", "__drop", *docs.columns)
-    schema = "kept string, n_lines long, n_dropped long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_cut, schema)
+    """row (a struct of all columns of docs but the text), kept (the text without the lines that go), n_lines before dropping, n_dropped."""
+    drops = lines_to_drop(docs, doc_id, text, **how)
+    rest = [f for f in docs.schema if f.name != text]
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"))
+    joined = left.join(drops, ["doc_id", "body"], "left").select("row", "lines")
+    schema = "row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rest) + ">, kept string, n_lines long, n_dropped long"
+    return joined.mapInArrow(_cut(docs.columns.index(text)), schema)

@@ -30,7 +30,7 @@ def op4_line_dedup(spark, sf_dir):
     from graphloom.llm.linededup import dedup_lines
 
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_warc(spark, sf_dir):

@@ -17,10 +17,9 @@ def toxicity(spark, docs, sf_dir):
 
 def line_dedup(spark, docs, sf_dir):
     """Repeated lines go, all but one; documents stay, with what is left of their texts."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = linededup.dedup_lines(docs.select("doc_id", "text", *(c for c in rest if c != "doc_id")))
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = linededup.dedup_lines(docs.drop("n_chars"))
+    made = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark, docs, sf_dir):
