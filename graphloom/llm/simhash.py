@@ -1,8 +1,8 @@
 """SimHash near-dedup with bit-sliced comparison.
 
 Documents become 64-bit fingerprints; equal ones collapse to one row.  Fingerprints that differ in at most RADIUS bits
-agree on at least BLOCKS - RADIUS of BLOCKS bit blocks, so they meet in the bucket of one pair of blocks: the search is
-exact, without all pairs.  Within a bucket, bit planes are stored vertically: one word holds one bit of 64 fingerprints,
+agree on at least n - RADIUS of n bit blocks, so they meet in the bucket of one choice of so many blocks: the search is exact,
+without all pairs.  More blocks make smaller buckets, so n grows with the number of distinct fingerprints.  Within a bucket, bit planes are stored vertically: one word holds one bit of 64 fingerprints,
 carry-save counters add up 64 distances at a time, and a word is abandoned once all its distances exceed the radius.
 Buckets beyond TILE members are split into tiles, two parts against each other, so no task gets one whole.
 
@@ -15,6 +15,7 @@ document; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import join_counted, written
 from graphloom.llm.components import components
 
-WORDS, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
+WORDS, SEED, RADIUS = 4, 42, 4
 #: Members of a bucket that one task compares at once.
 TILE = 4096
 #: Buckets up to this size are compared together, pair by pair; larger ones as blocks of queries against all planes.
@@ -256,9 +257,17 @@ def _buckets(radius: int, blocks: int) -> list:
     return [F.xxhash64(F.lit(k), *(part[i] for i in pick)) for k, pick in enumerate(combinations(range(blocks), blocks - radius))]
 
 
-def similar(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def blocks_for(count: int, radius: int = RADIUS, bucket: int = 32) -> int:
+    """Bit blocks with which buckets of as many random fingerprints have about `bucket` members or fewer: 6 up to 2**24 or so."""
+    n = radius + 2
+    while n < 64 and (64 * (n - radius) // n) < math.log2(max(count, 1) / bucket):
+        n += 1
+    return n
+
+
+def similar(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """Of distinct (fp, id): the links a, b between ids whose fingerprints are within the radius, as forests of the buckets."""
-    return _linked(prints, ["fp"], F.array(*_buckets(radius, blocks)), radius, tile)
+    return _linked(prints, ["fp"], F.array(*_buckets(radius, blocks or blocks_for(prints.count(), radius))), radius, tile)
 
 
 def _linked(prints: DataFrame, words: list[str], buckets, radius: int, tile: int) -> DataFrame:
@@ -325,8 +334,14 @@ def confirmed_links(similarity: float):
     return run
 
 
-def _confirmed(docs: DataFrame, proposed: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
-    """Of documents (doc_id, body) and their proposed groups (node, root): the links of that similarity, as forests of the groups.
+def _row_hash(docs: DataFrame) -> list:
+    """Two hashes of a whole row: equal rows have equal ones, all others are told apart."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(F.lit(k), F.to_json(F.struct(*every)) if any(f.dataType.typeName() == "map" for f in docs.schema) else F.struct(*every)).alias(f"h{k}") for k in (1, 2)]
+
+
+def _confirmed(texts: DataFrame, members: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+    """Of texts (h1, h2, body), each once, and members of proposed groups (h1, h2, node, root): the links of that similarity, as forests of the groups.
 
     Groups beyond a tile are split into two parts against each other, as hot buckets are.
     """
@@ -336,9 +351,9 @@ def _confirmed(docs: DataFrame, proposed: DataFrame, words: int, similarity: flo
             sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2), batch.column(3)], names=["id", "shingles", "root", "n"])
 
-    sizes = proposed.groupBy("root").agg(F.count("*").alias("n"))
-    members = written(proposed.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "n"), "proposed")
-    rows = docs.join(members, "doc_id").select("doc_id", "body", "root", "n").mapInArrow(run, "id long, shingles binary, root long, n long")
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+    members = written(members.join(sizes, "root"), "proposed")
+    rows = texts.join(members, ["h1", "h2"]).select("node", "body", "root", "n").mapInArrow(run, "id long, shingles binary, root long, n long")
     parts = F.ceil(F.col("n") / tile).cast("int")
     split = rows.withColumn("mine", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     split = split.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "id", "shingles")
@@ -346,32 +361,42 @@ def _confirmed(docs: DataFrame, proposed: DataFrame, words: int, similarity: flo
     return dealt.mapInArrow(confirmed_links(similarity), "a long, b long")
 
 
-def copies(docs: DataFrame, doc_id="doc_id", text="text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, similarity: float = NEAR_SIMILARITY, tile: int = TILE) -> DataFrame:
-    """doc_id, component_id over documents that are linked by word shingles alike to the similarity or more.
+def representatives(docs: DataFrame, doc_id="doc_id", text="text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, similarity: float = NEAR_SIMILARITY, tile: int = TILE) -> DataFrame:
+    """The rows of docs, all columns, of which one stays of each group linked by word shingles alike to the similarity or more.
 
     Five-word shingles of NEAR_SIMILARITY agree on about 85 % of SimHash bits, too few for an exact search by blocks of bits.  So
     groups are proposed: by bands of the least shingle hashes, of which two documents at the similarity share one with probability
     0.9996, and by the bit-sliced distance of WIDE fingerprints side by side.  Within a group the exact Jaccard similarity of the
-    shingle sets decides.  Texts with the same set are one row from the start; those without words are alike.
+    shingle sets decides.  Texts with the same set are one node from the start; those without words are alike.
+
+    Rows are told apart by all their columns, not by their ids: the row with the smallest id stays, a null counts as larger than
+    all, rows of one id go by a hash of the row; of equal rows one is left.
     """
     names = [f"fp{k}" for k in range(WIDE)]
     same = ["set0", "set1"]
 
     def run(batches):
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words)) for t in batch.column(1)]
+            hashes = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words)) for t in batch.column(3)]
             columns = zip(*map(wide_fingerprint, hashes), strict=True) if hashes else [[]] * WIDE
             sets = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in hashes), dtype=np.int64).reshape(-1, 2)
             keys = pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *map(pa.array, sets.T.copy()), keys], names=["doc_id", *names, *same, "bands"])
-
-    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    prints = written(source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names + same) + ", bands array<long>"), "wide")
-    distinct = written(prints.groupBy(*same, *names).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "distinct")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns), *map(pa.array, sets.T.copy()), keys], names=["doc_id", "h1", "h2", *names, *same, "bands"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *_row_hash(docs), F.col(text).cast("binary").alias("body"))
+    prints = written(source.mapInArrow(run, "doc_id long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names + same) + ", bands array<long>"), "wide")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    sets = prints.groupBy(*same, *names).agg(F.min(row).alias("row"), F.min_by("bands", row).alias("bands"))
+    # numbers are read from the written table only, so a task that is run again cannot change them
+    distinct = written(sets.withColumn("id", F.monotonically_increasing_id()), "distinct")
     proposed = components(_linked(distinct, names, F.col("bands"), radius, tile), "a", "b")
-    roots = components(_confirmed(source, proposed, words, similarity, tile), "a", "b")
-    rooted = written(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("root", "id").alias("component_id"), "n"), "rooted")
-    return join_counted(prints.select("doc_id", *same), rooted, same, "n", prints.count()).select("doc_id", "component_id")
+    members = distinct.select(F.col("id").alias("node"), "row.h1", "row.h2").join(proposed, "node")
+    once = source.select("h1", "h2", "body").dropDuplicates(["h1", "h2"])
+    roots = components(_confirmed(once, members, words, similarity, tile), "a", "b")
+    grouped = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("row").alias("row"))
+    stay = grouped.select(F.col("row.h1").alias("h1"), F.col("row.h2").alias("h2"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_row_hash(docs)).dropDuplicates(["h1", "h2"])
+    return rows.join(stay, ["h1", "h2"], "left_semi").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -23,10 +23,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each group of copies the document with the smallest id stays; rows without an id stay."""
-    stay = simhash.copies(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of copies the row with the smallest id stays; rows that share an id or have none are rows of their own."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark, docs, sf_dir):

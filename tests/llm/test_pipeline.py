@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import simhash, stages
 
@@ -10,48 +11,67 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_copies_by_brute_force(spark):
-    rng = random.Random(8)
-    texts = []
-    for g in range(40):
-        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
-        texts.append(" ".join(base))
-        for _ in range(rng.randrange(3)):
-            w = list(base)
-            for _ in range(rng.choice([1, 2, 3])):
-                w[rng.randrange(200)] = "edit"
-            texts.append(" ".join(w))
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
-    got = {r.doc_id: r.component_id for r in simhash.copies(docs).collect()}
-    alike = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.85]
-    assert len(alike) > 30 and all(got[i] == got[j] for i, j in alike)
+def groups(texts):
+    """The least member of the group of each text, by the exact similarity of all pairs."""
+    root = list(range(len(texts)))
     for i in range(len(texts)):
-        if got[i] != i:
-            assert jaccard(texts[i], texts[got[i]]) > 0.5
+        for j in range(i):
+            if root[i] != root[j] and (not (texts[i] or "").split() and not (texts[j] or "").split() or jaccard(texts[i] or "", texts[j] or "") >= 0.8):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
 
 
-def test_copies_confirm_by_exact_similarity(spark):
-    rng = random.Random(12)
+def near_corpus(seed, edits):
+    rng = random.Random(seed)
     texts = []
     for g in range(60):
         base = [f"w{rng.randrange(4000)}" for _ in range(200)]
         texts.append(" ".join(base))
         for _ in range(rng.randrange(3)):
             w = list(base)
-            for _ in range(rng.choice([1, 3, 5, 6, 7, 8, 10, 13])):
+            for _ in range(rng.choice(edits)):
                 w[rng.randrange(200)] = f"e{rng.randrange(4000)}"
             texts.append(" ".join(w))
     texts.append(" ".join(texts[0].split()[:60]) + " " + " ".join(["again and again it goes"] * 200))
     texts.append(" ".join(texts[1].split()[:60]) + " " + " ".join(["again and again it goes"] * 200))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
+    return texts
+
+
+def test_one_of_each_group_stays(spark):
+    texts = near_corpus(12, [1, 3, 5, 6, 7, 8, 10, 13])
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
+    want = sorted(set(groups(texts)))
     for tile in (simhash.TILE, 2):
-        assert {r.doc_id: r.component_id for r in simhash.copies(docs, tile=tile).collect()} == dict(enumerate(root))
+        got = simhash.representatives(docs, tile=tile)
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_rows_without_their_own_id(spark):
+    texts = near_corpus(13, [1, 2, 3])[:60]
+    other = [" ".join(f"z{i}x{k}" for k in range(60)) for i in range(8)]
+    rows = list(enumerate(texts)) + [(7, other[0]), (7, other[1]), (7, other[0]), (None, other[2]), (None, other[3]), (None, other[3]), (None, texts[5]), (500, other[2]), (None, None), (None, ""), (501, other[4] + " "), (501, other[4])]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = simhash.representatives(docs).collect()
+    root = groups([t for _, t in rows])
+    assert len(got) == len(set(root))
+    for r in set(root):
+        members = [rows[k] for k in range(len(rows)) if root[k] == r]
+        (one,) = [(g.doc_id, g.text) for g in got if (g.doc_id, g.text) in members]
+        assert (one[0] is None, one[0] or 0) == min((i is None, i or 0) for i, _ in members)
+
+
+def test_stages_take_odd_rows(spark, odd, none, tmp_path):
+    spark.createDataFrame([(1, "same text here for all of us")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (stages.toxicity, stages.line_dedup, stages.near_duplicates, stages.decontamination):
+        docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got = out.collect()
+        assert len(got) == (docs.count() if stage is not stages.near_duplicates else 9)
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    assert stages.packing(spark, odd, str(tmp_path)).select("doc_id").count() >= odd.count()
 
 
 def test_pipeline(spark, tmp_path):
