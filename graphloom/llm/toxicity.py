@@ -36,7 +36,6 @@ ROUNDS = 4
 #: Symbols: 0 a break, 1-26 letters, 27-30 other letters and digits by code, 31 anything that is passed over.
 NONE, FILL, WIDTH = 0, 31, 32
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-LONGEST = 4096
 
 
 def _symbol(code: int) -> int:
@@ -52,8 +51,11 @@ def _symbol(code: int) -> int:
 
 TABLE = np.array([_symbol(i) for i in range(0x2100)], dtype=np.int32)
 STEPS = [(a, b, DECAY ** (a + b)) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
-#: Length of the feature vector of a word of n symbols whose subsequences all differ.
-NORM = np.array([1e-9, *(max(1e-9, sum(w * w * max(0, n - a - b) for a, b, w in STEPS)) for n in range(1, LONGEST + 1))]) ** 0.5
+
+
+def distinct_norm(n: np.ndarray) -> np.ndarray:
+    """Length of the feature vector of a word of n symbols whose subsequences all differ."""
+    return np.sqrt(np.maximum(1e-18, sum(w * w * np.maximum(0, n - a - b) for a, b, w in STEPS)))
 
 
 def symbols(text: str) -> np.ndarray:
@@ -157,7 +159,7 @@ class Model:
         total = np.zeros(len(start))
         for of, f, weight in features(s, word):
             total += weight * np.bincount(of, weights=self.weights[f], minlength=len(start))
-        margin = total / NORM[np.minimum(length, LONGEST)] + self.bias
+        margin = total / distinct_norm(length) + self.bias
         near = np.flatnonzero(margin > REFINE)
         if len(near):  # adding up repeats can only lower a margin above the bias, so only these matter
             number = np.full(len(start) + 1, -1)
@@ -180,6 +182,10 @@ class Model:
             out.append(self._worst(s, lambda start, owner=owner: owner[start], len(words[k : k + block])))
         return np.concatenate(out) if out else np.zeros(0)
 
+    def plain(self) -> tuple:
+        """What a broadcast carries: nothing that a worker would have to import."""
+        return self.weights, self.bias, self.slope, self.offset
+
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -50, 50)))
 
@@ -318,18 +324,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 
 def score(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, score of every row, from its whole text alone."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches):
+        judge = Model(*held.value)
         for batch in batches:
             texts, out, part, size = batch.column(1), [], [], 0
             for t in texts:
                 part.append(t.as_py() or "")
                 size += len(part[-1])
                 if size >= BLOCK_CHARS:
-                    out.append(held.value.probabilities(part))
+                    out.append(judge.probabilities(part))
                     part, size = [], 0
-            out.append(held.value.probabilities(part))
+            out.append(judge.probabilities(part))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -343,19 +350,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels).plain())
     names = docs.columns
 
     def run(batches):
+        judge = Model(*held.value)
         for batch in batches:
             texts, keep, part, size = batch.column(names.index(text)), [], [], 0
             for t in texts:
                 part.append(t.as_py() or "")
                 size += len(part[-1])
                 if size >= BLOCK_CHARS:
-                    keep.append(held.value.probabilities(part) < THRESHOLD)
+                    keep.append(judge.probabilities(part) < THRESHOLD)
                     part, size = [], 0
-            keep.append(held.value.probabilities(part) < THRESHOLD)
+            keep.append(judge.probabilities(part) < THRESHOLD)
             yield batch.filter(pa.array(np.concatenate(keep)))
 
     return docs.mapInArrow(run, docs.schema)

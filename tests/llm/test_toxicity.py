@@ -55,6 +55,14 @@ def test_held_out_accuracy_and_margins():
             assert abs(model.margins([t])[0] - want) < 1e-3
 
 
+def test_long_words_keep_their_norm():
+    rng = np.random.default_rng(4)
+    model = T.Model(rng.normal(0.02, 0.05, T.WIDTH**3), -0.5)
+    for n in (100, 5000, 20_000):
+        word = "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+        assert abs(model.margins([word])[0] - slow_margin(model, word)) < 1e-6
+
+
 def test_contract_and_odd_rows(spark, odd, none):
     rows = corpus(300, 2)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (None, "grumbax", "x"), (3, rows[3][1], "x")], "doc_id long, text string, score string")
