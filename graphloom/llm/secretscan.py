@@ -1,11 +1,16 @@
 """Secret scan in DataFrame functions: fixed forms, and a randomness test battery with false-discovery control.
 
-Base kinds follow their patterns alone.  Beyond them every token of 16 or more characters with a digit is a candidate.  Its
-encoding is inferred from its characters; over that alphabet it must look random to three tests - chi-squared uniformity
-of the symbols, runs above and below the middle of the alphabet, serial correlation of neighbours - at level RANDOM_LEVEL
-each.  Short tokens pass such tests easily, so the evidence against the null of ordinary text is the likelihood ratio of
-the token under random symbols and under letter frequencies: its inverse is a valid p-value (Markov's inequality) that
-shrinks with length.  Benjamini-Hochberg at FDR, weighted by length, keeps the share of false finds per document in check.
+Base kinds follow their patterns alone.  Beyond them every token of 16 or more characters is a candidate.  Its encoding is
+inferred from its characters; over that alphabet three tests ask whether it looks random - chi-squared uniformity of the
+symbols, runs above and below the middle of the alphabet, serial correlation of neighbours - and Fisher's method combines
+their p-values into one of the battery.
+
+A discovery is a token that ordinary text does not explain.  The likelihood ratio of a token under random symbols and under
+letter frequencies has expectation 1 under ordinary text; weighted by twice the battery's p-value, whose expectation under
+randomness is a half, it still has (change of measure), so its inverse is a valid p-value (Markov's inequality).  A token must
+thus be unlike text and pass the battery, in one number that shrinks with length.  Benjamini-Hochberg at FDR, with weights in
+proportion to length, keeps the share of false finds per document in check.  Patterns that are neither text nor random - the
+battery's p-value is below RANDOM_LEVEL - are no discoveries, however unlike text they are.
 
 Nulls and empty texts have no spans; every row, repeated or with a null id, returns a row; other columns are ignored.
 """
@@ -22,7 +27,7 @@ from graphloom.llm.spans import apart, listed, located, tagged
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?+ *+[:=] *+["']?+([A-Za-z0-9+/_.=-]++)"""
 #: Base kinds in listing order; shorter runs than the least length could only be dropped, so they are not matched.
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}+", "hex": r"[0-9a-f]{24,}+"}
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 RANDOM_LEVEL, FDR = 0.001, 0.01
 
 #: Alphabets in the order in which they are tried.
@@ -30,6 +35,8 @@ ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -101,7 +108,7 @@ def moments(s: Column) -> Column:
 
 
 def judged(s: Column) -> Column:
-    """The three p-values under randomness and the p-value under ordinary text."""
+    """The three p-values under randomness, Fisher's combination of them, and the p-value under ordinary text that it enters."""
     df = s.k - 1
     chi = s.k / s.n * s.squares - s.n
     p_chi = upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
@@ -112,29 +119,37 @@ def judged(s: Column) -> Column:
     spread = s.vv - n * s.mean * s.mean
     lag = s.lag - s.mean * s.ends + (n - 1) * s.mean * s.mean
     p_serial = F.when(spread > 0, two_sided((lag / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))).otherwise(0.0)
-    return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), s.encoding.alias("encoding"), p_chi.alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), F.least(F.lit(1.0), F.exp(s.text + n * F.log(s.k))).alias("p_text"))
+    ratio = s.text + n * F.log(s.k)  # minus the logarithm of the likelihood ratio
+    return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), s.encoding.alias("encoding"), p_chi.alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), ratio.alias("ratio"))
+
+
+def combined(s: Column) -> Column:
+    half = -F.log(F.greatest(s.p_chi * s.p_runs * s.p_serial, F.lit(1e-300)))  # half of Fisher's statistic
+    battery = F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2))  # tail of chi-squared with six degrees
+    p = F.least(F.lit(1.0), F.exp(F.least(s.ratio - F.log(2 * battery), F.lit(0.0))))
+    return F.struct(*(s[c].alias(c) for c in ("start", "end", "n", "encoding", "p_chi", "p_runs", "p_serial")), battery.alias("p_battery"), p.alias("p"))
 
 
 def discoveries(c: Column) -> Column:
     """Weighted Benjamini-Hochberg: p-values divided by relative length; the largest rank under its line decides."""
     m = F.size(c)
     mean = F.aggregate(c, F.lit(0.0), lambda a, s: a + s.n) / m
-    q = F.array_sort(F.transform(c, lambda s: s.p_text * mean / s.n))
+    q = F.array_sort(F.transform(c, lambda s: s.p * mean / s.n))
     cut = F.aggregate(F.transform(q, lambda p, i: F.when(p <= FDR * (i + 1) / m, p).otherwise(-1.0)), F.lit(-1.0), lambda a, p: F.greatest(a, p))
-    return F.filter(c, lambda s: (s.p_text * mean / s.n <= cut) & (F.least(s.p_chi, s.p_runs, s.p_serial) >= RANDOM_LEVEL) & ~s.encoding.isin("decimal", "mixed"))
+    return F.filter(c, lambda s: (s.p * mean / s.n <= cut) & (s.p_battery >= RANDOM_LEVEL) & ~s.encoding.isin("decimal", "mixed"))
 
 
 def find(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, base (sorted spans: start, order, kind, end), extra (random tokens apart from them), n_<kind>, candidates (with p-values)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
-    gates = {"assign": t.rlike("[:=]"), "access": t.contains("AKIA"), "hex": t.rlike("[0-9a-f]{24}"), "token": t.rlike("[0-9]")}
+    gates = {"assign": t.rlike("[:=]"), "access": t.contains("AKIA"), "hex": t.rlike("[0-9a-f]{24}"), "token": t.rlike("[A-Za-z0-9+/_-]{16}")}
     found = located(rows, "t", {k: (p, gates[k]) for k, p in (BASE | {"token": TOKEN}).items()}).drop("t")
     found = found.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s.m, ASSIGN, 1)) >= 6))
     base = F.array_sort(F.concat(*(tagged(F.col(k), k, i) for i, k in enumerate(BASE))))
     found = found.select("doc_id", base.alias("base"), "token", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE))
     found = found.withColumn("token", apart(F.col("token"), F.col("base")))
-    for step in (measure, moments, judged):
+    for step in (measure, moments, judged, combined):
         found = found.withColumn("token", F.transform("token", step))
     extra = tagged(discoveries(F.col("token")), lambda s: F.concat(F.lit("random_"), s.encoding), len(BASE))
     return found.select("doc_id", "base", F.array_sort(extra).alias("extra"), *(f"n_{k}" for k in BASE), F.col("token").alias("candidates"))

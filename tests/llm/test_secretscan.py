@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -50,5 +51,72 @@ def test_battery_finds_random_tokens_only(spark):
     bad = ["a-quite-ordinary-identifier-of-2024", "thisisalongwordwithanumber7", "1234567890123456789012", "aaaaaaaaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz0123456789", "A1B2A1B2A1B2A1B2A1B2A1B2A1B2", "international_conference_on_testing_3"]
     docs = spark.createDataFrame([(i, " words around ".join([t, bad[i % len(bad)]])) for i, t in enumerate(text)], "doc_id long, text string")
     got = {text_[s.start : s.end] for r in S.find(docs).collect() for text_ in [" words around ".join([text[r.doc_id], bad[r.doc_id % len(bad)]])] for s in r.extra}
-    assert not got & set(bad)
+    assert not got & set(bad), got & set(bad)
     assert len(got & good) >= 0.9 * len(good)
+
+
+def slow_battery(token):
+    """The tests by their definitions, from the token's characters one by one."""
+    plain = token.rstrip("=")
+    name = next((k for k, a in S.ALPHABETS.items() if set(plain) <= set(a)), None)
+    letters = S.ALPHABETS[name] if name else "".join(dict.fromkeys("".join(S.ALPHABETS.values())))
+    v, n, k = [letters.index(c) for c in plain], len(plain), len(letters)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum((v.count(x) - n / k) ** 2 / (n / k) for x in range(k))
+    p_chi = tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    high = [2 * x > k - 1 for x in v]
+    runs, ups = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    mean = 1 + 2 * ups * (n - ups) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 0.0
+    centre = sum(v) / n
+    spread = sum((x - centre) ** 2 for x in v)
+    lag = sum((a - centre) * (b - centre) for a, b in zip(v, v[1:]))
+    p_serial = 2 * tail(abs(lag / spread + 1 / n) * math.sqrt(n)) if spread > 0 else 0.0
+    x = -2 * math.log(max(p_chi * p_runs * p_serial, 1e-300))
+    battery = min(1.0, math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
+    text = sum(S.text_log_probability(ord(c)) for c in plain)
+    return name or "mixed", p_chi, p_runs, p_serial, battery, min(1.0, math.exp(min(0.0, text + n * math.log(k) - math.log(2 * battery))))
+
+
+def slow_discoveries(tokens):
+    """Weighted Benjamini-Hochberg over one document's tokens: weights in proportion to length."""
+    told = [slow_battery(t) for t in tokens]
+    n = [len(t.rstrip("=")) for t in tokens]
+    q = [x[-1] / (k / (sum(n) / len(n))) for x, k in zip(told, n)]
+    ranked = sorted(q)
+    passed = [p for i, p in enumerate(ranked, 1) if p <= S.FDR * i / len(q)]
+    return {t for t, x, p in zip(tokens, told, q) if passed and p <= max(passed) and x[4] >= S.RANDOM_LEVEL and x[0] not in ("decimal", "mixed")}
+
+
+def test_battery_and_control_by_brute_force(spark):
+    rng = random.Random(17)
+    alphabets = [string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.digits, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits + "-_"]
+    words = "international conference testing getElementById thequickbrownfox ConfigurationManager aaaaaaaa under_score".split()
+    rows = []
+    for i in range(40):
+        tokens = ["".join(rng.choice(rng.choice(alphabets) if rng.random() < 0.01 else a) for _ in range(rng.randrange(16, 70))) for a in rng.choices(alphabets, k=rng.randrange(1, 6))]
+        tokens += ["".join(rng.choice(words) for _ in range(rng.randrange(2, 5))) for _ in range(rng.randrange(4))]
+        rows.append((i, " ; ".join(dict.fromkeys(t for t in tokens if re.fullmatch(S.TOKEN, t)))))
+    near = 0
+    for r in S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r.doc_id][1]
+        tokens = [text[c.start : c.end] for c in r.candidates]
+        for t, c in zip(tokens, r.candidates):
+            name, *want = slow_battery(t)
+            assert c.encoding == name
+            for got, x in zip((c.p_chi, c.p_runs, c.p_serial), want):
+                assert abs(got - x) < 1e-3
+            if min(want[:3]) > 0.02:  # the fit of the normal tail is good to 2e-4
+                assert abs(math.log(c.p_battery / want[3])) < 0.05 and abs(math.log(max(c.p, 1e-300) / max(want[4], 1e-300))) < 0.1
+                near += 1
+        if tokens and all(min(slow_battery(t)[1:4]) > 0.02 or slow_battery(t)[-1] == 1 for t in tokens):
+            assert {text[s.start : s.end] for s in r.extra} == slow_discoveries(tokens)
+    assert near > 50
+
+
+def test_random_letters_are_found(spark):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(40)) for _ in range(20)]
+    got = S.find(spark.createDataFrame([(i, f"the key is {k} and that is all") for i, k in enumerate(keys)], "doc_id long, text string")).collect()
+    assert sum(len(r.extra) for r in got) >= 18
