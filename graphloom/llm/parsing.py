@@ -26,6 +26,8 @@ from graphloom.llm.common import shuffle_partitions
 FEATURES, SLOTS = (2, 3), 128
 #: Code points that are parsed at once.
 BLOCK_CHARS = 500_000
+#: Bytes of text in a partition, where that makes more of them than the session's shuffle partitions.
+PART_BYTES = 128_000_000
 NO_ID = -(2**63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,7 +124,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         if have[filled.any(axis=1)].all():
             break
         take = ~have & np.roll(filled, -shift, axis=1)
-        full[take] = mix(np.roll(least, -shift, axis=1)[take] + np.uint64(shift) * ODD)
+        full[take] = mix(np.roll(least, -shift, axis=1)[take] + ODD * np.array(shift, dtype=np.uint64))
         have |= take
     return np.where(have, (mix(full) >> np.uint64(56)).astype(np.uint8), 0).astype(np.uint8)
 
@@ -138,41 +140,64 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _cuts(ids: DataFrame, parts: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Bounds that deal the ids into ranges, and for each range's largest id the range that needs its row besides its own.
+class Ranges:
+    """Ranges of the order of documents - by falling id (nulls last), then by the text's hash - with about as many rows each.
+
+    An id that holds several ranges' worth of rows is split by the hash.  place is the complement of the id, so it ascends.
+    """
+
+    def __init__(self, quantiles: list[int]):
+        self.cuts, self.times = np.unique(np.array(quantiles or [], dtype=np.int64), return_counts=True)
+        self.before = np.concatenate(([0], np.cumsum(self.times)))
+
+    def of(self, place: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        if not len(self.cuts):
+            return np.zeros(len(place), dtype=np.int32)
+        at = np.searchsorted(self.cuts, place, side="right")
+        out = self.before[at]
+        own = np.maximum(at - 1, 0)
+        tied = (at > 0) & (self.cuts[own] == place) & (self.times[own] > 1)
+        high = (hash_[tied].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        out[tied] = self.before[own[tied]] + 1 + ((high * self.times[own[tied]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        return out.astype(np.int32)
+
+
+def _ranges(rows: DataFrame, parts: int) -> tuple[Ranges, dict[tuple[int, int], int]]:
+    """The ranges, and for each range's first row the range that needs it besides its own: the one before.
 
     Both have at most as many entries as there are partitions.
     """
-    got = ids.agg(F.percentile_approx("key", F.array(*(F.lit(k / parts) for k in range(1, parts))) if parts > 1 else F.array(F.lit(0.5)), F.lit(10_000)).alias("q")).first().q
-    cuts = np.array(sorted(set(got or [])), dtype=np.int64)
+    quantiles = rows.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
+    ranges = Ranges(quantiles)
 
-    def ranges(batches):
+    def run(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, key, side="left").astype(np.int32)), batch.column(0)], names=["bucket", "key"])
+            place, hash_ = (c.to_numpy() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(place, hash_)), *batch.columns], names=["bucket", "place", "hash"])
 
-    heads = sorted(((r.bucket, r.key) for r in ids.mapInArrow(ranges, "bucket int, key long").groupBy("bucket").agg(F.max("key").alias("key")).collect()), reverse=True)
-    return cuts, {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}
+    first = rows.select("place", "hash").mapInArrow(run, "bucket int, place long, hash long").groupBy("bucket").agg(F.min(F.struct("place", "hash")).alias("row"))
+    heads = sorted((r.bucket, r.row.place, r.row.hash) for r in first.collect())
+    return ranges, {(place, hash_): heads[i - 1][0] for i, (_, place, hash_) in enumerate(heads)}
 
 
-def _deal(cuts: np.ndarray, also: dict[int, int]):
-    """Rows by range with their fingerprint and packed text; the first row of a range also goes to the range above it."""
+def _deal(ranges: Ranges, also: dict[tuple[int, int], int]):
+    """Rows by range with their fingerprint and packed text; the first row of a range also goes to the range before it."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            buckets, rows, part, size, at = np.searchsorted(cuts, keys, side="left").tolist(), [], [], 0, 0
+            places, hashes = (c.to_numpy() for c in batch.columns[:2])
+            buckets, rows, part, size, at = ranges.of(places, hashes).tolist(), [], [], 0, 0
 
             def flush(part, at):
                 for j, (t, f) in enumerate(zip(part, fingerprints(part), strict=True)):
-                    key, raw = int(keys[at + j]), t.encode("utf-8")  # noqa: B023
-                    row = (key, int.from_bytes(hashlib.md5(raw).digest()[:8], "big", signed=True), press.compress(raw), f.tobytes())
+                    key = (int(places[at + j]), int(hashes[at + j]))  # noqa: B023
+                    row = (*key, press.compress(t.encode("utf-8")), f.tobytes())
                     rows.append((buckets[at + j], False, *row))  # noqa: B023
                     if key in also:
                         rows.append((also[key], True, *row))  # noqa: B023
 
-            for i, t in enumerate(batch.column(1)):
+            for i, t in enumerate(batch.column(2)):
                 part.append(t.as_py() or "")
                 size += len(part[-1])
                 if size >= BLOCK_CHARS:
@@ -181,7 +206,7 @@ def _deal(cuts: np.ndarray, also: dict[int, int]):
             flush(part, at)
             if rows:
                 kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "ghost", "key", "hash", "packed", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "ghost", "place", "hash", "packed", "print"])
 
     return run
 
@@ -190,25 +215,25 @@ RESULT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.strin
 
 
 def _compare(batches):
-    """Rows of a range by descending id, then the ghosts: each row against the next one."""
+    """Rows of a range in order, then the ghosts: each row against the next one."""
     unpack = zstandard.ZstdDecompressor()
     held, ready, size = None, [], 0  # held: the row that waits for its next
 
     def flush(ready):
         prints = fingerprints([e for *_, e in ready])
         rows = []
-        for (key, n, print_, next_print, e), f in zip(ready, prints, strict=True):
+        for (place, n, print_, next_print, e), f in zip(ready, prints, strict=True):
             f = f.tobytes()
-            rows.append((None if key == NO_ID else key, n, hashlib.sha256(e.encode()).hexdigest(), print_.hex(), f.hex(), likeness(print_, f), likeness(print_, next_print)))
+            rows.append((None if ~place == NO_ID else ~place, n, hashlib.sha256(e.encode()).hexdigest(), print_.hex(), f.hex(), likeness(print_, f), likeness(print_, next_print)))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), RESULT.values(), strict=True)], names=list(RESULT))
 
     for batch in batches:
-        for bucket, ghost, key, _, packed, print_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, ghost, place, _, packed, print_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack.decompress(packed).decode() if packed else ""
             if held and held[0] == bucket:
                 ready.append((held[1], len(held[2]), held[3], print_, edited(held[2], text)))
                 size += len(held[2])
-            held = None if ghost else (bucket, key, text, print_)
+            held = None if ghost else (bucket, place, text, print_)
             if size >= BLOCK_CHARS:
                 yield flush(ready)
                 ready, size = [], 0
@@ -216,15 +241,17 @@ def _compare(batches):
         yield flush(ready)
 
 
-def fingerprint_edits(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, doc_id="doc_id", text="text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses (see the query's contract).
 
-    Texts cross the network once, packed; ranges of ids keep each next document in the same partition.
+    Texts cross the network once, packed; ranges of the order keep each next document in the same partition.
     """
-    parts = max(1, min(shuffle_partitions(docs.sparkSession), 1000))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).cast("string").alias("text"))
-    cuts, also = _cuts(rows.select("key"), parts)
-    dealt = rows.mapInArrow(_deal(cuts, also), "bucket int, ghost boolean, key long, hash long, packed binary, print binary")
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("key"), "hash")
+    t = F.col(text).cast("string")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(t)), F.lit(0))).first()[0]
+    parts = max(1, shuffle_partitions(docs.sparkSession), -(-size // part_bytes))
+    place = F.bitwise_not(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+    rows = docs.select(place.alias("place"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("hash"), t.alias("text"))
+    dealt = rows.mapInArrow(_deal(*_ranges(rows, parts)), "bucket int, ghost boolean, place long, hash long, packed binary, print binary")
+    dealt = dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "ghost", "place", "hash")
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(_compare, kinds)

@@ -88,3 +88,57 @@ def test_contract(spark, odd, none):
     assert P.fingerprint_edits(odd).count() == odd.count() and P.fingerprint_edits(none).count() == 0
     (r,) = P.fingerprint_edits(docs.where("doc_id = 3")).collect()
     assert r.near_next == 1.0
+
+
+def test_ties_are_split_and_keep_their_order(spark):
+    import xxhash
+
+    rng = random.Random(8)
+    rows = [(5, text(rng, 60)) for _ in range(150)] + [(None, text(rng, 60)) for _ in range(80)] + [(None, "")] + [(i, text(rng, 60)) for i in range(20)] + [(7, "the same row")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = []
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]]):
+        e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i is None, i or 0, hashlib.sha256(e.encode()).hexdigest()))
+    for size in (P.PART_BYTES, 500):
+        got = P.fingerprint_edits(docs, part_bytes=size).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in got) == sorted(want)
+    place = np.array([~r[0] if r[0] is not None else 2**63 - 1 for r in order], dtype=np.int64)
+    hashes = np.array([signed(t) for _, t in order], dtype=np.int64)
+    ranges = P.Ranges(np.quantile(place, np.arange(1, 20) / 20, method="lower").tolist())
+    of = ranges.of(place, hashes)
+    assert (np.diff(of) >= 0).all() and np.bincount(of).max() < 40  # 150 rows of one id lie in many ranges
+
+
+def slow_minima(text):
+    """Sampled minima, name by name: the least of each slot, an empty slot taking the next one's, told apart by the distance."""
+    found = [int(P.mix(np.array([v], dtype=np.uint64) + np.uint64(k))[0]) for k in P.FEATURES for v in names(text, k)]
+    one = lambda v: int(P.mix(np.array([v % 2**64], dtype=np.uint64))[0])
+    least = [min((v for v in found if one(v) % P.SLOTS == s), default=None) for s in range(P.SLOTS)]
+    out = []
+    for s in range(P.SLOTS):
+        shift = next((k for k in range(P.SLOTS) if least[(s + k) % P.SLOTS] is not None), None)
+        if shift is None:
+            return bytes(P.SLOTS)
+        v = least[(s + shift) % P.SLOTS]
+        if shift:
+            v = one(v + shift * int(P.ODD))
+        out.append(one(v) >> 56)
+    return bytes(out)
+
+
+def test_minima_and_likeness_by_brute_force():
+    rng = random.Random(9)
+    for n in (0, 1, 9, 200, 3000):
+        t = text(rng, n)
+        assert P.fingerprints([t])[0].tobytes() == slow_minima(t)
+    a, b = bytes(range(128)), bytes(range(64)) + bytes(64)
+    assert P.likeness(a, a) == 1.0 and abs(P.likeness(a, b) - (0.5 - 1 / 256) / (1 - 1 / 256)) < 1e-12
+    # the share of equal slots estimates the share of common names
+    x = text(rng, 30_000)
+    y = x[:20_000] + text(rng, 10_000)
+    p, q = (set(names(t, 2)) | set(names(t, 3)) for t in (x, y))
+    f, g = P.fingerprints([x, y])
+    assert abs(P.likeness(f.tobytes(), g.tobytes()) - len(p & q) / len(p | q)) < 0.15
