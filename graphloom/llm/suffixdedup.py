@@ -2,11 +2,13 @@
 
 A string of WINDOW bytes that starts in two places must be found wherever it is, so candidates come from anchors: of the
 grams in a window the one with the least hash is its anchor, the same in every copy of the window.  An anchor occurrence
-stands for a stretch of starts and the text around it (its context).  Anchors that occur once cannot repeat.  Equal contexts
-settle all their starts at once.  What is left - the rims of repeated passages - goes to the suffix sort: contexts of one
-anchor meet in a task, and the suffixes at their starts are merge-sorted.  Two suffixes are compared by the length of their
-common extension, found by binary search over prefix polynomial hashes; neighbours that agree over WINDOW bytes are
-repeats, after their bytes have been compared, so that a collision of hashes cannot remove anything.
+stands for a stretch of starts and the text around it (its context).  Anchors that occur once cannot repeat.  A context is
+named by a keyed BLAKE2b digest of its bytes, whose key is drawn anew for each run, so that polynomial hashes decide nothing
+there; contexts of one name under one anchor settle all their starts at once.  What is left - the rims of repeated passages -
+goes to the suffix sort: contexts of one anchor meet in a task, and the suffixes at their starts are merge-sorted.  Two
+suffixes are compared by the length of their common extension, found by binary search over prefix polynomial hashes;
+neighbours that agree over WINDOW bytes are repeats, after their bytes have been compared.  So a collision of polynomial
+hashes cannot remove anything.
 
 Anchors with more than HOT distinct contexts are split by stretches of STRETCH starts and the core that all windows of a
 stretch share, so no task gets a whole hot anchor.  Documents cross the network packed, joined once for contexts and once
@@ -19,6 +21,7 @@ with other texts are told apart; null ids are kept; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_counted, written
+from graphloom.llm.common import dropped, join_counted, written
 
 WINDOW, GRAM = 200, 32
 HOT, STRETCH = 4096, 21
@@ -70,7 +73,14 @@ class Hashes:
         return (self.sums[at + length] - self.sums[at]) * self.inverse[at]
 
 
-def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
+def names(buf: bytes, first: np.ndarray, length: np.ndarray, place: np.ndarray, salt: bytes) -> np.ndarray:
+    """Digest of each context and of its anchor's place in it."""
+    digest, ends = hashlib.blake2b, [bytes([k]) for k in range(WINDOW)]
+    rows = zip(first.tolist(), (first + length).tolist(), place.tolist(), strict=True)
+    return np.frombuffer(b"".join([digest(buf[a:b] + ends[k], digest_size=8, salt=salt).digest() for a, b, k in rows]), dtype=np.uint64)
+
+
+def anchors(texts: list[bytes], salt: bytes = b"") -> dict[str, np.ndarray]:
     """Anchor occurrences: doc (number in the list), key, context, first and last start, last start of the context, place of the anchor in it.
 
     Neighbouring occurrences of one anchor with equal contexts, as in runs of one byte, are one row with a count.
@@ -81,7 +91,8 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         return none
     size = np.array([len(texts[i]) for i in long])
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    buf = np.frombuffer(b"".join(texts[i] for i in long), dtype=np.uint8)
+    whole = b"".join(texts[i] for i in long)
+    buf = np.frombuffer(whole, dtype=np.uint8)
     h = Hashes(buf)
     n = len(buf) - GRAM + 1
     gram = mix((h.sums[GRAM:] - h.sums[:-GRAM]) * h.inverse[:n])
@@ -109,7 +120,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     at = at[first]
     length = last - first + WINDOW
     key, place = gram[at], at - first
-    context = mix(h.of(first, length) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+    context = names(whole, first, length, place, salt)
     run = np.ones(len(first), dtype=bool)
     run[1:] = (context[1:] != context[:-1]) | (key[1:] != key[:-1]) | (first[1:] != last[:-1] + 1) | (first[1:] != last[1:])
     head = np.flatnonzero(run)
@@ -219,18 +230,21 @@ def _batch(columns: dict, kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) for k, kind in kinds.items()], names=list(kinds))
 
 
-def _anchors(batches):
-    for batch in batches:
-        ids, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        part, size, at = [], 0, 0
-        for i, t in enumerate(batch.column(2)):
-            part.append(t.as_buffer().to_pybytes())
-            size += len(part[-1])
-            if size >= BLOCK or i + 1 == batch.num_rows:
-                found = anchors(part)
-                doc = found.pop("doc") + at
-                yield _batch({"id": ids[doc], "body": bodies[doc], **found}, FOUND)
-                part, size, at = [], 0, i + 1
+def _anchors(salt: bytes):
+    def run(batches):
+        for batch in batches:
+            ids, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part, size, at = [], 0, 0
+            for i, t in enumerate(batch.column(2)):
+                part.append(t.as_buffer().to_pybytes())
+                size += len(part[-1])
+                if size >= BLOCK or i + 1 == batch.num_rows:
+                    found = anchors(part, salt)
+                    doc = found.pop("doc") + at
+                    yield _batch({"id": ids[doc], "body": bodies[doc], **found}, FOUND)
+                    part, size, at = [], 0, i + 1
+
+    return run
 
 
 def _pack(batches):
@@ -343,10 +357,11 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (byte offsets of what goes), kept (the remaining bytes) of every row."""
     t = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(t).alias("body"), t.alias("t"))
-    found = written(rows.mapInArrow(_anchors, "id long, body long, key long, context long, first int, last int, until int, place int, n int"), "anchors")
+    found = written(rows.mapInArrow(_anchors(secrets.token_bytes(16)), "id long, body long, key long, context long, first int, last int, until int, place int, n int"), "anchors")
     total = found.count()
     shared = written(found.groupBy("key").agg(F.sum("n").alias("seen"), F.count("*").alias("rows")).where("seen > 1"), "shared")
-    found = written(join_counted(found, shared.select("key", "rows"), ["key"], "rows", total).drop("rows"), "candidates")
+    every, found = found, written(join_counted(found, shared.select("key", "rows"), ["key"], "rows", total).drop("rows"), "candidates")
+    dropped(every, shared)
     one = F.struct("id", "body", "first")
     kinds = found.groupBy("key", "context").agg(F.sum("n").alias("copies"), F.count("*").alias("rows"), F.min(one).alias("one"))
     spread = kinds.groupBy("key").agg(F.count("*").alias("kinds"))

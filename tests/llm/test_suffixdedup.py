@@ -74,6 +74,14 @@ def test_sort_and_collisions(monkeypatch):
     assert S.repeats(buf, p, np.zeros(len(p), dtype=np.uint64)).tolist() == want
 
 
+def test_nothing_wrong_goes_when_all_hashes_collide(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(6)]
+    texts += [texts[2][100:450], "q" * 260 + texts[4][:210]]
+    monkeypatch.setattr(S, "VALUES", np.zeros(256, dtype=np.uint64))
+    check(spark, texts)
+
+
 def test_odd_rows(spark, odd, none):
     got = S.remove_repeats(odd).collect()
     assert len(got) == odd.count() and {r.doc_id for r in got} == {r.doc_id for r in odd.collect()}
