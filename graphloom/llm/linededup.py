@@ -25,8 +25,8 @@ from graphloom.llm.common import ascii_lower, dropped, join_counted, remove, scr
 
 #: Code points that a key must have, and documents that must hold it, before its lines go.
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bytes of text in a batch, unless that made more than MOST_BATCHES; runs of one level that are compacted.
-BATCH_BYTES, MOST_BATCHES, FANOUT = 100_000_000, 16, 2
+#: Batches at least, bytes of text above which there are more of them, and runs of one level that are compacted.
+BATCHES, BATCH_BYTES, FANOUT = 4, 10**12, 2
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 
@@ -123,7 +123,7 @@ def lines_to_drop(docs: DataFrame, doc_id="doc_id", text="text", min_chars=MIN_C
     """doc_id (null: NO_ID), body, lines (the numbers of those that go), of every document that loses any."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
-    batches = max(1, min(-(-size // batch_bytes), MOST_BATCHES))
+    batches = max(BATCHES, -(-size // batch_bytes))
     cuts = docs.select(F.col(doc_id).cast("long").alias("i")).agg(F.percentile_approx("i", [1 - k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts or []), F.lit(0))  # the largest documents come first
     keyed = line_keys(docs, doc_id, text, min_chars).withColumn("batch", batch)

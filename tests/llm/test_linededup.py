@@ -38,7 +38,7 @@ def test_matches_brute_force(spark):
     rows = corpus(1)
     docs = spark.createDataFrame([(*r, "x", 1, 2, "b") for r in rows], "doc_id long, text string, kept string, n_lines int, n_dropped int, body string")
     want = slow(rows)
-    for size in (L.BATCH_BYTES, 9000, 1000):  # one batch, several, and more than FANOUT squared
+    for size in (L.BATCH_BYTES, 3000):  # four batches, and far more than FANOUT squared
         got = L.dedup_lines(docs, batch_bytes=size).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -75,7 +75,7 @@ def test_anti_join_decides(spark, monkeypatch):
     rows = corpus(2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(L.LineRuns, "fresh", lambda self, batch: self.spark.table(batch))
-    got = {r.row.doc_id: (r.n_lines, r.n_dropped, r.kept or "") for r in L.dedup_lines(docs, batch_bytes=14000).collect()}
+    got = {r.row.doc_id: (r.n_lines, r.n_dropped, r.kept or "") for r in L.dedup_lines(docs, batch_bytes=7000).collect()}
     assert got != slow(rows)
 
 
