@@ -41,7 +41,7 @@ FIELD_NAMES = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 #: Compressed bytes after which an archive file ends, with the record that passes them.
-FILE_BYTES = 32_000_000
+FILE_BYTES = 16_000_000
 #: Bytes that are expanded at once.
 INFLATE_BYTES = 1 << 16
 #: Payload bytes that a reader gathers before it hands them on.
