@@ -83,11 +83,10 @@ def pack(docs: DataFrame, doc_id="doc_id", text="text", source="source", capacit
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.length(t).cast("long").alias("size"), F.xxhash64(t).alias("cluster"))
     last = F.greatest(F.ceil(F.col("size") / capacity).cast("int") - 1, F.lit(0))
+    shards = max(1, -(-(rows.agg(F.sum(last + 1)).first()[0] or 0) // shard))
+    # equal rows are counted and dealt out again by number, so that they spread over the shards whichever task is run again
+    rows = rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.col("size") - F.col("start"), F.lit(capacity)).cast("int"))
-    total = rows.agg(F.count("*")).first()[0]
-    shards = max(1, -(-total // shard))
-    # equal rows differ by nothing, so the text's own hash and the row's place in its task spread them
-    salt = F.xxhash64("doc_id", "piece", "cluster", F.monotonically_increasing_id())
-    rows = rows.withColumn("shard", F.pmod(F.when(F.col("doc_id").isNull(), salt).otherwise(F.xxhash64("doc_id", "piece")), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "copy"), F.lit(shards)))
     return rows.select("shard", "doc_id", "piece", "start", "length", "source", "cluster").groupBy("shard").applyInPandas(_pack(capacity), SCHEMA)

@@ -49,3 +49,12 @@ def test_pack(spark, odd, none):
         assert "".join(t[r.start : r.start + r.length] for r in p) == t and len(p) == max(1, -(-len(t) // 512))
     assert sum(r.length for r in P.pack(odd).collect()) == sum(len(r.text or "") for r in odd.collect())
     assert P.pack(none).count() == 0
+
+
+def test_equal_rows_spread(spark):
+    rows = [(1, "the same row again and again", "a")] * 60 + [(None, "no id", None)] * 40 + [(2, f"text {i}", "b") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [[(r.bin_id, r.slot, r.doc_id, r.length) for r in P.pack(docs.repartition(k), capacity=64, shard=10).collect()] for k in (2, 5)]
+    assert sorted(got[0], key=str) == sorted(got[1], key=str) and len(got[0]) == 150
+    shards = [b >> 32 for b, _, i, _ in got[0] if i == 1]
+    assert max(map(shards.count, set(shards))) < 15
