@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import plain_sentences
+from graphloom.functions.text import plain_sentences, strip
+from graphloom.operators.order import running
 
 # Words that mark a key passage; names of the tiers; the note at the cut.
 KEYWORDS = (
@@ -27,15 +28,58 @@ def key_passages(text: Column, keywords: tuple[str, ...] = KEYWORDS, most: int =
     return F.slice(F.filter(plain_sentences(text), lambda x: x.rlike("|".join(keywords))), 1, most)
 
 
+# What a model is asked for, by tier.
+ASK = ("请用一句话（不超过80字）总结以下医学教材文本的核心知识点。知识点：", "\n\n原文：\n", "\n\n摘要：")
+ASK_SHORT = ("用一句话概括：", "\n", "\n摘要：")
+
+
+def summary_prompt(tier: Column, label: Column, text: Column) -> Column:
+    """What a model is asked for a node of tier 1 to 3; null for tier 4 and for nodes without a text."""
+    long, short = F.substring(text, 1, 1500), F.substring(text, 1, 500)
+    prompt = F.when(tier <= 2, F.concat(F.lit(ASK[0]), label, F.lit(ASK[1]), long, F.lit(ASK[2]))).otherwise(F.concat(F.lit(ASK_SHORT[0]), label, F.lit(ASK_SHORT[1]), short, F.lit(ASK_SHORT[2])))
+    return F.when((tier < 4) & (F.coalesce(text, F.lit("")) != ""), prompt)
+
+
+def model_summary(tier: Column, reply: Column, label: Column, text: Column) -> Column:
+    """A model's reply within its bounds, else what the rules say."""
+    said = F.nullif(strip(F.coalesce(reply, F.lit(""))), F.lit(""))
+    return F.when((tier < 4) & said.isNotNull(), F.substring(said, 1, F.when(tier <= 2, 150).otherwise(100))).otherwise(fallback_summary(tier, label, text))
+
+
+def fallback_summary(tier: Column, label: Column, text: Column) -> Column:
+    """The first two sentences that caption nothing; tier 4 is cut at 80 characters."""
+    s = F.slice(F.filter(plain_sentences(F.coalesce(text, F.lit(""))), lambda x: (F.length(x) > 8) & ~x.startswith("图") & ~x.startswith("表")), 1, 2)
+    raw = F.when(F.size(s) > 0, F.concat(F.array_join(s, "。"), F.lit("。"))).otherwise(label)
+    return F.when(tier == 4, F.substring(raw, 1, 80)).otherwise(raw)
+
+
+def preview(nodes: DataFrame, text: str = "content", n: int = 200) -> DataFrame:
+    """Nodes as they are stored: the start of the text in place of the text."""
+    return nodes.withColumn("chunk_content_preview", F.substring(text, 1, n)).drop(text)
+
+
+def active_report(raw: DataFrame, strict: DataFrame, by: str, target: float = 0.3) -> DataFrame:
+    """One report of both by key: the strict one's figures where there is one, else the raw one's."""
+    s = strict.select(by, *(F.col(c).alias(f"__{c}") for c in ("original_chars", "compressed_chars", "ratio")))
+    both = raw.join(s, by, "left")
+    pick = {c: F.coalesce(f"__{c}", c).alias(c) for c in ("original_chars", "compressed_chars", "ratio")}
+    return both.select(by, *pick.values(), F.col("ratio").alias("raw_ratio"), (F.coalesce("__ratio", "ratio") <= target).alias("target_met"), F.col("__ratio").isNotNull().alias("strict"))
+
+
 def two_sentences(text: Column) -> Column:
     """What stands in for a model's summary."""
     return F.array_join(F.slice(plain_sentences(text), 1, 2), "。")
 
 
 def rendered(nodes: DataFrame) -> DataFrame:
-    """tier, rank, lines of nodes(id, label, tier, score, summary, content, passages): a list item for tiers 3 and 4, a headed entry above."""
-    rank = F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("score"), "id"))
-    n = nodes.withColumn("rank", rank)
+    """tier, rank, lines of nodes(id, label, tier, score, summary, content, passages): a list item for tiers 3 and 4, a headed entry above.
+
+    Only ids, tiers and scores are put in order; the texts join their ranks once.
+    """
+    numbered = running(nodes.select("id", "tier", "score"), [F.col("tier"), F.desc("score"), F.col("id")], "__n")
+    starts = numbered.groupBy("tier").agg((F.min("__n") - 1).alias("__start"))  # a row per tier
+    ranks = numbered.join(F.broadcast(starts), "tier").select(F.col("id").alias("__id"), F.col("tier").alias("__tier"), (F.col("__n") - F.col("__start")).cast("int").alias("rank"))
+    n = nodes.drop("rank").join(ranks, (F.col("id") == F.col("__id")) & (F.col("tier") == F.col("__tier"))).drop("__id", "__tier")
     quote = F.when(F.coalesce("summary", F.lit("")) != "", F.array(F.concat(F.lit("> "), "summary"), F.lit(""))).otherwise(F.array().cast("array<string>"))
     content = F.coalesce("content", F.lit(""))
     cut = F.when(F.length(content) > 300, F.array(F.lit(""), F.lit("*(原文已截断)*"))).otherwise(F.array().cast("array<string>"))
@@ -79,6 +123,11 @@ def compression(nodes: DataFrame, original: str, compressed: str) -> DataFrame:
     return r.withColumn("ratio", F.col("compressed_chars") / F.greatest("original_chars", F.lit(1)))
 
 
+def coverage(nodes: DataFrame) -> DataFrame:
+    """Per tier: nodes, and those with a text of their own."""
+    return nodes.groupBy("tier").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("content", F.lit("")) != "").alias("mapped"))
+
+
 def tier_samples(nodes: DataFrame, k: int = 5) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("score"), "id"))
     return nodes.withColumn("rank", rank).where(F.col("rank") <= k).select("tier", "rank", "id", F.bround("score", 4).alias("score"), F.substring("summary", 1, 100).alias("summary"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import quantiles
 from graphloom.operators.state import cut
 
 RELATIONS = ("prerequisite", "parallel", "containment", "application")
@@ -68,13 +69,16 @@ def relation_counts(edges_: DataFrame) -> DataFrame:
 
 
 def quality(triples: DataFrame) -> DataFrame:
-    """Per book: nodes, edges, triples, triples of each relation, nodes of degree at most 1, invalid triples."""
+    """Per book: nodes, edges, triples, triples of each relation, nodes of degree at most 1, invalid triples, prerequisite cycles of two."""
     e = edges(triples)
     d = degree(e, ("book_id",)).groupBy("book_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") <= 1).alias("low_degree"))
     n = e.groupBy("book_id").agg(F.count("*").alias("edges"))
     bad = invalid_reason(F.col("subject"), F.col("relation"), F.col("object"), F.col("evidence")).isNotNull()
     t = triples.groupBy("book_id").agg(F.count("*").alias("triples"), *(F.count_if(F.col("relation") == r).alias(r) for r in RELATIONS), F.count_if(bad).alias("invalid"))
-    return t.join(n, "book_id").join(d, "book_id")
+    name = lambda end: F.concat("book_id", F.lit("\x01"), end).alias(end)
+    c = cycles(e.where("relation = 'prerequisite'").select(name("source"), name("target")), 2)
+    c = c.groupBy(F.substring_index(F.col("nodes")[0], "\x01", 1).alias("book_id")).agg(F.count("*").alias("cycles"))
+    return t.join(n, "book_id").join(d, "book_id").join(c, "book_id", "left").withColumn("cycles", F.coalesce("cycles", F.lit(0)).cast("long"))
 
 
 def undirected(edges_: DataFrame) -> DataFrame:
@@ -130,17 +134,20 @@ def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def tiers(df: DataFrame, score: str, cuts: tuple[float, ...] = (0.85, 0.55, 0.20)) -> DataFrame:
     """tier 1 to 4 by exact linear percentiles of the score."""
-    q = df.agg(F.percentile(score, F.array(*(F.lit(c) for c in cuts))).alias("__q"))
-    tier = F.when(F.col(score) >= F.col("__q")[0], 1).when(F.col(score) >= F.col("__q")[1], 2).when(F.col(score) >= F.col("__q")[2], 3).otherwise(4)
-    return df.crossJoin(F.broadcast(q)).withColumn("tier", tier).drop("__q")
+    q = quantiles(df, score, cuts) or [0.0] * len(cuts)
+    tier = F.when(F.col(score) >= q[0], 1).when(F.col(score) >= q[1], 2).when(F.col(score) >= q[2], 3).otherwise(4)
+    return df.withColumn("tier", tier)
 
 
-def centrality(edges_: DataFrame, rounds: int = 200, tolerance: float | None = 1e-6) -> DataFrame:
-    """id, rank, degree, clustering, score (0.5, 0.3 and 0.2 of their z-scores), tier."""
+def centrality(edges_: DataFrame, rounds: int = 200, tolerance: float | None = 1e-6, digits: int = 9) -> DataFrame:
+    """id, rank, degree, clustering, score (0.5, 0.3 and 0.2 of their z-scores), tier.
+
+    Scores are rounded to so many digits, so that nodes of the same position in the graph are ties whatever the order of sums.
+    """
     m = pagerank(edges_, rounds, tolerance=tolerance).join(degree(edges_), "id").join(clustering(edges_).drop("triangles"), "id")
     z = zscore(m, ["rank", "degree", "clustering"])
-    scored = z.withColumn("score", 0.5 * F.col("z_rank") + 0.3 * F.col("z_degree") + 0.2 * F.col("z_clustering")).drop("z_rank", "z_degree", "z_clustering")
-    return tiers(scored, "score")
+    score = F.round(0.5 * F.col("z_rank") + 0.3 * F.col("z_degree") + 0.2 * F.col("z_clustering"), digits)
+    return tiers(cut(z.withColumn("score", score).drop("z_rank", "z_degree", "z_clustering")), "score")
 
 
 def cycles(edges_: DataFrame, longest: int = 4) -> DataFrame:
@@ -149,24 +156,36 @@ def cycles(edges_: DataFrame, longest: int = 4) -> DataFrame:
     path = pairs.select(F.col("source").alias("start"), F.array("source").alias("nodes"), F.col("target").alias("at")).where("at >= start")
     found = path.where("at = start").select("nodes")
     path = path.where("at > start")
-    for _ in range(longest - 1):
-        step = path.join(pairs, path.at == pairs.source).select("start", F.array_append("nodes", F.col("at")).alias("nodes"), F.col("target").alias("at"))
-        found = found.unionByName(step.where("at = start").select("nodes"))
-        path = step.where((F.col("at") > F.col("start")) & ~F.array_contains("nodes", F.col("at")))
+    back = pairs.select(F.col("source").alias("at"), F.col("target").alias("start"))
+    for k in range(2, longest + 1):
+        found = found.unionByName(path.join(back, ["at", "start"]).select(F.array_append("nodes", F.col("at")).alias("nodes")))
+        if k < longest:  # paths are extended only as far as they may still close
+            step = path.join(pairs, path.at == pairs.source).select("start", F.array_append("nodes", F.col("at")).alias("nodes"), F.col("target").alias("at"))
+            path = step.where((F.col("at") > F.col("start")) & ~F.array_contains("nodes", F.col("at")))
     return found
 
 
-def reachable(edges_: DataFrame, start: str, depth: int = 20) -> DataFrame:
-    """id, hops of nodes within reach, breadth first; ends when a level adds nothing."""
+def checks(edges_: DataFrame, longest: int = 2, shown: int = 20) -> DataFrame:
+    """One row on a merged graph: nodes, edges, orphans (of degree at most 1) with the first ids, prerequisite cycles up to a length."""
+    d = degree(edges_)
+    n = d.agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") <= 1).alias("orphans"))
+    some = d.where("degree <= 1").orderBy("id").limit(shown).agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    c = cycles(edges_.where("relation = 'prerequisite'"), longest).agg(F.count("*").alias("cycles"))
+    return n.crossJoin(edges_.agg(F.count("*").alias("edges"))).crossJoin(some).crossJoin(c)  # one-row frames
+
+
+def reachable(edges_: DataFrame, start: str, depth: int | None = None) -> DataFrame:
+    """id, hops of nodes within reach (of `depth` hops), breadth first; ends when a level adds nothing."""
     pairs = edges_.select("source", "target").distinct()
     seen = edges_.sparkSession.createDataFrame([(start, 0)], "id string, hops int")
-    front = seen
-    for k in range(1, depth + 1):
+    front, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
         front = front.join(pairs, front.id == pairs.source).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(k))
         front = cut(front)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = cut(seen.unionByName(front))
     return seen
 
 
