@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.noise import MERGER
 from graphloom.functions.text import strip, undigited
+from graphloom.operators.order import running
 
 
 def book_nodes(triples: DataFrame) -> DataFrame:
@@ -93,18 +94,14 @@ def verdicts(candidates: DataFrame, auto: float = 0.85, replies: DataFrame | Non
 def decision_log(*decisions: tuple[str, DataFrame]) -> DataFrame:
     """decision_id, type, nodes, books, confidence over decisions(nodes, books, confidence), numbered by type and content.
 
-    Numbers run through the whole log: counts of each leading node are summed into offsets, so no task sees all rows.
+    Numbers run through the whole log, by ranges of its order.
     """
     rows = None
     for phase, (kind, d) in enumerate(decisions):
         one = d.select(F.lit(phase).alias("phase"), F.lit(kind).alias("type"), "nodes", "books", F.bround("confidence", 3).alias("confidence"))
         rows = one if rows is None else rows.unionByName(one)
-    ordered = rows.withColumn("bucket", F.ascii(F.element_at("nodes", 1)))
-    sizes = ordered.groupBy("phase", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("phase", "bucket")) - F.col("n")).drop("n")  # a row per first character
-    within = Window.partitionBy("phase", "bucket").orderBy(*(F.col(c) for c in ("nodes", "books", "confidence")))
-    number = F.row_number().over(within) + F.col("before")
-    return ordered.join(F.broadcast(before), ["phase", "bucket"]).select(F.format_string("D%05d", number.cast("int")).alias("decision_id"), "type", "nodes", "books", "confidence")
+    numbered = running(rows, [F.col(c) for c in ("phase", "nodes", "books", "confidence")], "number")
+    return numbered.select(F.format_string("D%05d", "number").alias("decision_id"), "type", "nodes", "books", "confidence")
 
 
 def merge_report(per_book: DataFrame, merged: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -116,22 +113,59 @@ def merge_report(per_book: DataFrame, merged: DataFrame, decisions: DataFrame) -
     return before.crossJoin(after).crossJoin(kinds).withColumn("dedup_ratio", ratio)  # one-row frames
 
 
-def label_in_chunk(labels: DataFrame, chunks: DataFrame, top: int = 3) -> DataFrame:
-    """label, chunk_id, score: chunks that contain a label, the earlier the better.
+#: Characters of labels that one automaton holds; more labels are more automata, run over a text one after another.
+BLOCK_CHARS = 2_000_000
 
-    A label's first three characters (two, if it has no more) propose chunks by an equi-join; containment decides.
+
+def label_in_chunk(labels: DataFrame, chunks: DataFrame, top: int = 3, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """label, chunk_id, score, rank: chunks that contain a label, the earlier the better.
+
+    One pass over the chunks: an automaton of all labels finds the first place of each, and only numbers leave the task.
     """
-    l = labels.select("label", undigited(F.col("label")).alias("needle")).where(F.length("needle") >= 2)  # noqa: E741
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
-    long = l.where(F.length("needle") >= 3).select("label", "needle", F.substring("needle", 1, 3).alias("gram"))
-    proposed = chunks.select("chunk_id", F.explode(grams(F.col("content"), 3)).alias("gram")).join(long, "gram")
-    short = l.where(F.length("needle") == 2)
-    near = proposed.select("chunk_id", "label", "needle").join(chunks.select("chunk_id", "content"), "chunk_id")
-    if not short.isEmpty():
-        near = near.unionByName(chunks.select("chunk_id", "content", F.explode(grams(F.col("content"), 2)).alias("needle")).join(short, "needle").select("chunk_id", "label", "needle", "content"))
-    at = F.position(F.col("needle"), F.col("content"))
-    hit = near.withColumn("at", at).where("at > 0")
-    scored = hit.select("label", "chunk_id", (1 - (F.col("at") - 1) / F.length("content")).alias("score"))
+    spark = chunks.sparkSession
+    rows = labels.select("label", undigited(F.col("label")).alias("needle")).where(F.length("needle") >= 2).groupBy("needle").agg(F.collect_set("label").alias("labels"))
+    blocks, part, size = [], [], 0
+    for r in rows.toLocalIterator():
+        part.append((r.needle, sorted(r.labels)))
+        size += len(r.needle)
+        if size >= block_chars:
+            blocks.append(spark.sparkContext.broadcast(part))
+            part, size = [], 0
+    if part:
+        blocks.append(spark.sparkContext.broadcast(part))
+
+    def automata():
+        import ahocorasick
+
+        for b in blocks:
+            one = ahocorasick.Automaton()
+            for needle, of in b.value:
+                one.add_word(needle, (len(needle), of))
+            one.make_automaton()
+            yield one
+
+    def run(batches):
+        import pyarrow as pa
+
+        built = list(automata()) if len(blocks) == 1 else None
+        for batch in batches:
+            found = {"row": [], "label": [], "at": [], "length": []}
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            for one in built or automata():
+                for i, t in enumerate(texts):
+                    first: dict[str, tuple[int, list[str]]] = {}
+                    for end, (n, of) in one.iter(t):
+                        first.setdefault(of[0], (end - n + 1, of))
+                    for at, of in first.values():
+                        for label in of:
+                            for k, v in zip(found, (i, label, at, len(t)), strict=True):
+                                found[k].append(v)
+            ids = batch.column(0).take(pa.array(found["row"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found["label"], pa.string()), pa.array(found["at"], pa.int64()), pa.array(found["length"], pa.int64())], names=["chunk_id", "label", "at", "length"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    hit = chunks.select("chunk_id", F.col("content").cast("string").alias("content")).mapInArrow(run, f"chunk_id {kind}, label string, at long, length long")
+    scored = hit.select("label", "chunk_id", (1 - F.col("at") / F.col("length")).alias("score"))
     best = Window.partitionBy("label").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 

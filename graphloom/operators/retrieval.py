@@ -11,30 +11,55 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content", tokens=terms) -> DataFrame:
-    """term, key, tf, dl: the inverted index; write it bucketed by term to search it without a scan."""
+    """term, key, tf, dl: the inverted index of a built engine."""
     rows = chunks.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
     return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus(chunks: DataFrame, text: str = "content", tokens=terms) -> DataFrame:
+def statistics(chunks: DataFrame, text: str = "content", tokens=terms) -> DataFrame:
+    """term, df; the row without a term counts the documents (df) and their tokens (length).  One pass over the texts."""
+    t = chunks.select(tokens(F.col(text)).alias("t"))
+    rows = t.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length"))
+
+
+def corpus(stats: DataFrame) -> DataFrame:
     """One row: n documents, average length."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    return stats.where("term is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
 
 
-def idf(index: DataFrame, n: DataFrame) -> DataFrame:
+def idf(stats: DataFrame) -> DataFrame:
     """term, df, idf; terms in over half the documents get EPSILON times the mean idf."""
-    d = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    d = stats.where("term is not null").select("term", "df").crossJoin(F.broadcast(corpus(stats)))
     d = d.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = d.agg(F.avg("raw").alias("mean"))
     return d.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+#: Distinct terms of questions that are broadcast against the texts; with more of them the join is shuffled.
+ASKED = 100_000
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content", tokens=terms) -> DataFrame:
-    """query_id, key, score over queries(query_id, question); repeated query terms count again."""
-    index, n = postings(chunks, key, text, tokens), corpus(chunks, text, tokens)
+    """query_id, key, score over queries(query_id, question); repeated query terms count again.
+
+    Two passes over the texts: one counts documents by term, the other counts the asked terms in each text, so that only their
+    postings leave a task.
+    """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    stats = statistics(chunks, text, tokens)
+    sought = asked.select("term").distinct()
+    if sought.limit(ASKED + 1).count() <= ASKED:
+        sought = F.broadcast(sought)
+    rows = chunks.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    index = rows.join(sought, "term", "left_semi").groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return scores(index, asked, idf(stats), corpus(stats), key)
+
+
+def scores(index: DataFrame, asked: DataFrame, weights: DataFrame, n: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """query_id, key, score of postings(term, key, tf, dl) for asked(query_id, term, times)."""
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hit = index.join(asked, "term").join(idf(index, n), "term").crossJoin(F.broadcast(n.select("avgdl")))
+    hit = index.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(n.select("avgdl")))  # n is one row
     return hit.groupBy("query_id", key).agg(F.sum(weight).alias("score"))
 
 
@@ -47,17 +72,62 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 64) -> DataFrame:
-    """query_id, key, distance of the k nearest: a stated query set against all rows, `block` queries a pass."""
-    q = queries.select("query_id", F.col(vector).alias("__q"))
-    rows = [r for r in q.limit(block + 1).collect()]
-    if len(rows) > block:
-        raise ValueError(f"more than {block} queries: pass them in blocks")
-    spark = vectors.sparkSession
-    held = F.broadcast(spark.createDataFrame(rows, q.schema))
-    d = vectors.crossJoin(held).select("query_id", key, squared_l2(F.col(vector), F.col("__q")).alias("distance"))
+def all_distances(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, distance of every vector to every query: a stated query set of a few questions."""
+    q = F.broadcast(queries.select("query_id", F.col(vector).alias("__q")))
+    return vectors.crossJoin(q).select("query_id", key, squared_l2(F.col(vector), F.col("__q")).alias("distance"))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """query_id, key, distance, rank of the k nearest, ties by key: a stated query set against all rows, `block` queries a pass.
+
+    A task keeps its k nearest of each query, so no more than that leaves it.
+    """
+    spark, passes, part = vectors.sparkSession, [], []
+
+    def nearest(held):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, points = held.value
+        points = np.array(points, dtype=np.float64)
+
+        def run(batches):
+            best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if len(own) else np.zeros((0, 1))
+                for j, p in enumerate(points if len(own) else ()):
+                    d = np.square(rows - p).sum(axis=1)
+                    if len(best[j][0]) == k:
+                        near = np.flatnonzero(d <= best[j][0][-1])
+                        d, of = d[near], own[near]
+                    else:
+                        of = own
+                    d, of = np.concatenate((best[j][0], d)), np.concatenate((best[j][1], of))
+                    order = np.lexsort((of, d))[:k]
+                    best[j] = d[order], of[order]
+            count = [len(d) for d, _ in best]
+            if sum(count):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count), pa.int64()), pa.array(np.concatenate([o for _, o in best]), pa.int64()), pa.array(np.concatenate([d for d, _ in best]))], names=["query_id", key, "distance"])
+
+        return run
+
+    def search(part):
+        held = spark.sparkContext.broadcast(([r[0] for r in part], [list(r[1]) for r in part]))
+        passes.append(vectors.select(F.col(key).cast("long"), vector).mapInArrow(lambda batches, held=held: nearest(held)(batches), f"query_id long, `{key}` long, distance double"))
+
+    for r in queries.select(F.col("query_id").cast("long"), vector).toLocalIterator():
+        part.append(r)
+        if len(part) == block:
+            search(part)
+            part = []
+    if part or not passes:
+        search(part)
+    while len(passes) > 1:
+        passes.append(passes.pop(0).unionByName(passes.pop(0)))
     order = Window.partitionBy("query_id").orderBy("distance", key)
-    return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return passes[0].withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def minmax(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -65,13 +135,14 @@ def minmax(df: DataFrame, column: str, to: str) -> DataFrame:
     return df.crossJoin(F.broadcast(s)).withColumn(to, (F.col(column) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-6)).drop("__lo", "__hi")
 
 
-def hybrid(keyword: DataFrame, distance: DataFrame, k: int, alpha: float = 0.5, key: str = "chunk_id") -> DataFrame:
-    """Fusion of one query's keyword scores and vector distances: alpha times the one, 1 - alpha times the other."""
-    both = distance.join(keyword, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("keyword"), "distance")
-    both = minmax(both, "keyword", "kw")
-    far = both.agg(F.max("distance").alias("__far"))
-    both = both.crossJoin(F.broadcast(far)).withColumn("near", 1 - F.col("distance") / (F.col("__far") + 1e-6))
-    return both.select(key, (alpha * F.col("kw") + (1 - alpha) * F.col("near")).alias("score")).orderBy(F.desc("score"), key).limit(k)
+def fused(keyword: DataFrame, distance: DataFrame, k: int, alpha: float = 0.5, key: str = "chunk_id") -> DataFrame:
+    """query_id, key, score, rank: per query alpha times the keyword score and 1 - alpha times the nearness, both scaled over all keys."""
+    both = distance.join(keyword.withColumnRenamed("score", "keyword"), ["query_id", key], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
+    range_ = both.groupBy("query_id").agg(F.min("keyword").alias("lo"), F.max("keyword").alias("hi"), F.max("distance").alias("far"))  # a row a query
+    kw = (F.col("keyword") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6)
+    near = 1 - F.col("distance") / (F.col("far") + 1e-6)
+    scored = both.join(F.broadcast(range_), "query_id").select("query_id", key, (alpha * kw + (1 - alpha) * near).alias("score"))
+    return top(scored, k, key=key)
 
 
 def citations(hits: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -1,12 +1,10 @@
-"""Sinks: markdown per book, manifests, graphs as tables and JSON, indexes, append-only feedback."""
+"""Sinks: markdown per book, manifests, triples, graphs as tables and JSON, append-only feedback; an index is written by its engine."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.retrieval import corpus, idf, postings
-
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """book_id=<book>/ text files; a row of name and content is a line of JSON, so names survive."""
@@ -19,6 +17,50 @@ def write_markdown(sections: DataFrame, path: str) -> None:
     whole.write.mode("overwrite").partitionBy("book_id").text(path)
 
 
+def _named(rows: DataFrame, path: str, extension: str) -> None:
+    """A text file path/folder/name.extension for each row of folder, name, value.
+
+    Spark names the files it writes itself; they are moved to their names afterwards, one move a file.
+    """
+    spark = rows.sparkSession
+    rows.select("folder", "name", "value").write.partitionBy("folder", "name").text(f"{path}/_parts")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    root = hadoop.Path(f"{path}/_parts")
+    fs = root.getFileSystem(conf)
+    found = fs.listFiles(root, True)
+    while found.hasNext():
+        at = found.next().getPath()
+        if at.getName().startswith("part-"):
+            name, folder = (unescape(p.getName().split("=", 1)[1]) for p in (at.getParent(), at.getParent().getParent()))
+            to = hadoop.Path(f"{path}/{folder}/{name}{extension}")
+            fs.mkdirs(to.getParent())
+            fs.rename(at, to)
+    fs.delete(root, True)
+
+
+def write_markdown_files(sections: DataFrame, path: str) -> None:
+    """A markdown file book/book.md for each book, its sections (index, markdown) in order."""
+    whole = sections.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "markdown"))), lambda x: x.markdown), "\n\n").alias("value"))
+    _named(whole.select(F.col("book_id").alias("folder"), F.col("book_id").alias("name"), "value"), path, ".md")
+
+
+def write_triples(triples: DataFrame, path: str, parts: int = 8) -> None:
+    """JSON arrays book/book-part.triples.json; a book's triples are dealt into so many parts."""
+    kept = [c for c in ("subject", "relation", "object", "evidence", "source_path", "book_id", "chapter", "section", "confidence", "extractor") if c in triples.columns]
+    rows = triples.select("book_id", F.pmod(F.xxhash64(*kept), F.lit(parts)).cast("string").alias("part"), F.to_json(F.struct(*kept)).alias("json"))
+    whole = rows.groupBy("book_id", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ",\n"), F.lit("]")).alias("value"))
+    _named(whole.select(F.col("book_id").alias("folder"), F.concat("book_id", F.lit("-"), "part").alias("name"), "value"), path, ".triples.json")
+
+
+def write_node_link(edges: DataFrame, path: str, parts: int | None = None) -> None:
+    """Node-link JSON of a graph's edges, dealt into as many files as there are shuffle partitions."""
+    parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [c for c in ("source", "target", "relation", "books", "confidence") if c in edges.columns]
+    rows = edges.select(F.pmod(F.xxhash64("source", "target"), F.lit(parts)).alias("part"), F.struct(*kept).alias("link"))
+    rows.groupBy("part").agg(F.collect_list("link").alias("links")).write.mode("overwrite").partitionBy("part").json(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -28,15 +70,5 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """postings, terms and corpus tables, the postings clustered by term so that a query prunes row groups."""
-    index = postings(chunks)
-    index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    held = chunks.sparkSession.read.parquet(f"{path}/postings")
-    n = corpus(chunks)
-    n.write.mode("overwrite").parquet(f"{path}/corpus")
-    idf(held, n).write.mode("overwrite").parquet(f"{path}/terms")
-
-
 def append_feedback(feedback: DataFrame, path: str) -> None:
     feedback.write.mode("append").json(path)
