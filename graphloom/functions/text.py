@@ -24,6 +24,11 @@ def clean_text(c: Column) -> Column:
     return strip(c)
 
 
+def clean_text_script(c: Column) -> Column:
+    """The batch script's cleaning: control marks and long dot leaders only."""
+    return strip(F.regexp_replace(F.translate(c, "\x08�", ""), r"\.{4,}", "..."))
+
+
 def clean_label(c: Column) -> Column:
     """A heading or path part as a label: without comments, marks, dot leaders, underscores and numbering."""
     c = strip(F.regexp_replace(c, r"<!--.*?-->", ""))
@@ -104,22 +109,52 @@ def markdown_table(rows: Column) -> Column:
     return F.when(F.size(kept) == 0, "").otherwise(F.array_join(table, "\n"))
 
 
+# Numberings that make a heading, and its level, in the order in which they are tried.
+HEADING_RULES = (
+    (r"^(绪论|前言|导论|总论)$", 1),
+    (r"(?i)^(chapter|part|section)\s+\d+", 1),
+    (r"^第\s*[一二三四五六七八九十百零〇\d]+\s*[篇编章]\b", 1),
+    (r"^第\s*[一二三四五六七八九十百零〇\d]+\s*节\b", 2),
+    (r"^[一二三四五六七八九十]+[、.．]\s*", 3),
+    (r"^[(（][一二三四五六七八九十\d]+[)）]\s*", 4),
+    (r"^\d+(?:\.\d+){1,3}\s+", 3),
+)
+
+
 def heading_level(text: Column, size: Column, common: Column, largest: Column, bold: Column) -> Column:
     """Heading level of a text block: numbering first, then fonts; 0 for body text.  largest: the largest heading size, if any."""
     t = clean_text(text)
-    rule = (
-        F.when(t.rlike("^(绪论|前言|导论|总论)$") | t.rlike(r"(?iU)^(chapter|part|section)\s+\d+") | t.rlike(r"(?U)^第\s*[一二三四五六七八九十百零〇\d]+\s*[篇编章]\b"), 1)
-        .when(t.rlike(r"(?U)^第\s*[一二三四五六七八九十百零〇\d]+\s*节\b"), 2)
-        .when(t.rlike(r"(?U)^[一二三四五六七八九十]+[、.．]\s*"), 3)
-        .when(t.rlike(r"(?U)^[(（][一二三四五六七八九十\d]+[)）]\s*"), 4)
-        .when(t.rlike(r"(?U)^\d+(?:\.\d+){1,3}\s+"), 3)
-    )
-    return (
-        rule.when((F.length(t) > 60) | (common <= 0), 0)
-        .when(size >= common + 2.5, F.when(largest.isNull() | (size >= largest - 0.2), 1).otherwise(2))
-        .when((size >= common + 1.2) | (bold & (size >= common + 0.5)), 3)
-        .otherwise(0)
-    )
+    font = F.when(size >= common + 2.5, F.when(largest.isNull() | (size >= largest - 0.2), 1).otherwise(2)).when((size >= common + 1.2) | (bold & (size >= common + 0.5)), 3).otherwise(0)
+    numbered = [F.when(t.rlike("(?U)" + p), level) for p, level in HEADING_RULES]
+    return F.coalesce(*numbered, F.when((F.length(t) > 60) | (common <= 0), 0).otherwise(font))
+
+
+# What the batch script takes for a heading, and what marks a case study.
+SCRIPT_CHAPTER, SCRIPT_ITEM, SCRIPT_CASE = "^(第[一二三四五六七八九十]+[章节]|绪论|前言)", "^[一二三四五六七八九十]、", "病例"
+
+
+def heading_level_script(text: Column, size: Column, common: Column, sizes: Column) -> tuple[Column, Column]:
+    """Level and text of a block as the batch script has them: numbering before fonts; case studies keep level 0 and get a mark.
+
+    sizes: the sizes above the common one, largest first.
+    """
+    t = clean_text_script(text)
+    second = F.when(F.size(sizes) > 1, F.get(sizes, F.lit(1))).otherwise(size)
+    font = F.when(size <= common + 1, 0).when(size >= F.coalesce(F.get(sizes, F.lit(0)), size), 1).when(size >= second, 2).otherwise(3)
+    level = F.when(t.rlike(SCRIPT_CHAPTER), 1).when(t.rlike(SCRIPT_ITEM), 3).when(t.contains(SCRIPT_CASE), 0).otherwise(font)
+    numbered = t.rlike(SCRIPT_CHAPTER) | t.rlike(SCRIPT_ITEM)
+    return level, F.when(~numbered & t.contains(SCRIPT_CASE), F.concat(F.lit("### 💡 "), t)).otherwise(t)
+
+
+def percent(c: Column) -> Column:
+    return F.format_string("%.1f%%", c * 100)
+
+
+def size_text(c: Column) -> Column:
+    """Bytes in units of 1024 with up to two decimals."""
+    unit = F.when(c < 1, 0).otherwise(F.least(F.lit(4), F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(1024.0)) + 1e-12)))
+    value = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", c / F.pow(F.lit(1024.0), unit)), r"0+$", ""), r"\.$", "")
+    return F.concat(F.when(c < 1, F.lit("0")).otherwise(value), F.lit(" "), F.get(F.array(*(F.lit(u) for u in ("Bytes", "KB", "MB", "GB", "TB"))), unit.cast("int")))
 
 
 def snippet(c: Column, n: int = 500) -> Column:

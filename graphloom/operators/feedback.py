@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import cache_key
@@ -21,6 +21,11 @@ def updated(decisions: DataFrame, feedback: DataFrame, key: str = "decision_id")
     return decisions.join(f, key, "left").withColumns({"teacher_feedback": F.col("__feedback"), "status": status, "resolved": F.col("__feedback").isNotNull()}).drop("__feedback")
 
 
+def resolution(feedback: Column, at: Column) -> Column:
+    """The note on a decision that a reviewer has settled."""
+    return F.concat(F.lit("教师反馈 ("), F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit("): "), F.substring(feedback, 1, 120))
+
+
 def misses(requests: DataFrame, cache: DataFrame, *parts: str) -> DataFrame:
     """Requests whose key the cache lacks, with the key."""
     keyed = requests.withColumn("key", cache_key(*(F.col(p) for p in parts)))

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.noise import BUILDER
@@ -37,6 +37,13 @@ def replies(requests: DataFrame, cache: DataFrame, parts: list[str], prompt: str
     return cache.select("key", "reply").unionByName(asked)
 
 
+def sample(chunks: DataFrame, per_book: int = 5, least: int = 200, most: int = 2000) -> DataFrame:
+    """book_id, chunk_name, chunk_text of the first chunks of each book that are long enough, cut to what a prompt takes."""
+    order = Window.partitionBy("book_id").orderBy("chunk_name")
+    rows = chunks.where(F.length("content") >= least).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_book)
+    return rows.select("book_id", "chunk_name", F.substring("content", 1, most).alias("chunk_text"))
+
+
 def embed(chunks: DataFrame, encode: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "content") -> DataFrame:
     """Adds an embedding column; encode() loads the model once a task."""
 

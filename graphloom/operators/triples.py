@@ -60,12 +60,16 @@ def parallel(heads: DataFrame) -> DataFrame:
     return _triples(both, F.col("x.s"), "parallel", F.col("x.o"), F.concat("x.s", F.lit(" | "), "x.o"), 0.78, 5, F.col("idx") * 2 + F.col("x.d"))
 
 
+def section_order(chunks: DataFrame) -> DataFrame:
+    """Each section of a book after the one before it."""
+    order = chunks.withColumn("before", F.lag("section").over(Window.partitionBy("book_id").orderBy("chunk_pos"))).where("before is not null")
+    return _triples(order, F.col("before"), "prerequisite", F.col("section"), F.concat("before", F.lit(" -> "), "section"), 0.65, 7, F.lit(0))
+
+
 def prerequisites(chunks: DataFrame, heads: DataFrame) -> DataFrame:
     """Heading order within chunks and section order across them, as far as no cycle comes of it."""
     a = _triples(adjacent(heads), F.col("heading"), "prerequisite", F.col("next"), F.concat("heading", F.lit(" -> "), "next"), 0.68, 4, F.col("idx"))
-    order = chunks.withColumn("before", F.lag("section").over(Window.partitionBy("book_id").orderBy("chunk_pos"))).where("before is not null")
-    b = _triples(order, F.col("before"), "prerequisite", F.col("section"), F.concat("before", F.lit(" -> "), "section"), 0.65, 7, F.lit(0))
-    c = a.unionByName(b).withColumnsRenamed({"subject": "source", "object": "target"})
+    c = a.unionByName(section_order(chunks)).withColumnsRenamed({"subject": "source", "object": "target"})
     return accept_acyclic(c).where("accepted").drop("accepted").withColumnsRenamed({"source": "subject", "target": "object"})
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterable
 from xml.etree import ElementTree
 
+from graphloom.functions.text import HEADING_RULES, SCRIPT_CASE, SCRIPT_CHAPTER, SCRIPT_ITEM
+
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -95,9 +98,7 @@ def xlsx_markdown(data: bytes) -> str:
 
 
 def _level(text: str, size: float, common: float, largest: float | None, bold: bool) -> int:
-    number = r"[一二三四五六七八九十百零〇\d]+"
-    rules = ((r"(绪论|前言|导论|总论)$", 1), (r"(?i)(chapter|part|section)\s+\d+", 1), (rf"第\s*{number}\s*[篇编章]\b", 1), (rf"第\s*{number}\s*节\b", 2), (r"[一二三四五六七八九十]+[、.．]", 3), (r"[(（][一二三四五六七八九十\d]+[)）]", 4), (r"\d+(?:\.\d+){1,3}\s+", 3))
-    for pattern, level in rules:
+    for pattern, level in HEADING_RULES:
         if re.match(pattern, text):
             return level
     if len(text) > 60 or common <= 0:
@@ -107,26 +108,37 @@ def _level(text: str, size: float, common: float, largest: float | None, bold: b
     return 3 if size >= common + 1.2 or bold and size >= common + 0.5 else 0
 
 
-def pdf_markdown(data: bytes, margin: float = 45, sample: int = 40) -> str:
-    """Page marker and blocks in reading order; headings by numbering and by fonts against the body's."""
+def pdf_pages(data: bytes) -> list[dict]:
+    """Height and text blocks (box, spans of text, size, font, flags) of each page."""
     try:
         import fitz
     except ImportError as e:
         raise ImportError("reading PDF needs the optional library PyMuPDF") from e
-    pdf = fitz.open(stream=data, filetype="pdf")
     spans = lambda b: [s for line in b.get("lines", ()) for s in line["spans"] if s["text"].strip()]
-    sizes = sorted(round(s["size"], 1) for page in list(pdf)[:sample] for b in page.get_text("dict")["blocks"] for s in spans(b))
+    return [{"height": page.rect.height, "blocks": [{"bbox": tuple(b["bbox"]), "spans": spans(b)} for b in page.get_text("dict")["blocks"] if b.get("type", 0) == 0]} for page in fitz.open(stream=data, filetype="pdf")]
+
+
+def pdf_markdown(data: bytes) -> str:
+    return layout(pdf_pages(data))
+
+
+def _sizes(pages: list[dict], sample: int) -> list[float]:
+    return sorted(round(s["size"], 1) for p in pages[:sample] for b in p["blocks"] for s in b["spans"])
+
+
+def layout(pages: list[dict], margin: float = 45, sample: int = 40) -> str:
+    """Page marker and blocks in reading order; headings by numbering and by fonts against the body's."""
+    sizes = _sizes(pages, sample)
     common = sizes[(len(sizes) - 1) // 2] if sizes else 0.0
     heads = [s for s in sizes if s >= common + 1.0]
     out = []
-    for number, page in enumerate(pdf, 1):
+    for number, page in enumerate(pages, 1):
         out.append(f"<!-- page: {number} -->")
-        blocks = sorted(page.get_text("dict")["blocks"], key=lambda b: (round(b["bbox"][1], 1), round(b["bbox"][0], 1)))
         found = False
-        for b in blocks:
-            part = spans(b)
+        for b in sorted(page["blocks"], key=lambda b: (round(b["bbox"][1], 1), round(b["bbox"][0], 1))):
+            part = b["spans"]
             text = clean(" ".join(s["text"] for s in part))
-            edge = b["bbox"][1] < margin or b["bbox"][3] > page.rect.height - margin
+            edge = b["bbox"][1] < margin or b["bbox"][3] > page["height"] - margin
             if not text or edge and len(text) < 24:
                 continue
             level = _level(text, max(s["size"] for s in part), common, max(heads, default=None), any("bold" in s["font"].lower() or s["flags"] & 16 for s in part))
@@ -135,3 +147,28 @@ def pdf_markdown(data: bytes, margin: float = 45, sample: int = 40) -> str:
         if not found:
             out.append("> no extractable text on this page")
     return "\n\n".join(out)
+
+
+def layout_script(pages: list[dict], margin: float = 50, sample: int = 20) -> str:
+    """The batch script's variant: the commonest size is the body's, case studies are marked, no page markers."""
+    sizes = _sizes(pages, sample)
+    if not sizes:
+        return ""
+    common = Counter(sizes).most_common(1)[0][0]
+    above = sorted({s for s in sizes if s > common}, reverse=True)
+    out = []
+    for page in pages:
+        for b in sorted(page["blocks"], key=lambda b: (b["bbox"][1], b["bbox"][0])):
+            text = re.sub(r"\.{4,}", "...", " ".join(s["text"].strip() for s in b["spans"]).replace("\x08", "").replace("�", "")).strip()
+            if not text:
+                continue
+            size = round(b["spans"][-1]["size"], 1)
+            font = 0 if size <= common + 1 else 1 if size >= above[0] else 2 if size >= (above[1] if len(above) > 1 else size) else 3
+            numbered = 1 if re.match(SCRIPT_CHAPTER, text) else 3 if re.match(SCRIPT_ITEM, text) else None
+            if numbered or SCRIPT_CASE not in text and font:
+                out.append(f"\n{'#' * (numbered or font)} {text}\n")
+            elif SCRIPT_CASE in text:
+                out.append(f"\n### 💡 {text}\n")
+            elif not ((b["bbox"][1] < margin or b["bbox"][3] > page["height"] - margin) and len(text) < 20):
+                out.append(text)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out))

@@ -70,11 +70,29 @@ def triples(spark: SparkSession, path: str, books: list[str] | None = None) -> D
     return t
 
 
+def endpoint(c):
+    """An end of a link, which may be an id or an object with one, or with a name."""
+    held = F.from_json(F.when(c.startswith("{"), c), "id string, name string")
+    return F.when(held.isNotNull(), F.coalesce(held["id"], held["name"], F.lit(""))).otherwise(c)
+
+
 def graph_edges(spark: SparkSession, path: str) -> DataFrame:
     """Edges of node-link JSON, under either of its two names; edges without both ends are dropped."""
     edge = "array<struct<source:string,target:string,relation:string,books:array<string>,confidence:double>>"
     j = spark.read.schema(f"links {edge}, edges {edge}").json(path, multiLine=True)
-    return j.select(F.explode(F.coalesce("links", "edges")).alias("e")).select("e.*").where("source is not null and target is not null")
+    e = j.select(F.explode(F.coalesce("links", "edges")).alias("e")).select("e.*").where("source is not null and target is not null")
+    return e.withColumns({"source": endpoint(F.col("source")), "target": endpoint(F.col("target"))})
+
+
+def with_content(hits: DataFrame, chunk_table: DataFrame, key: str = "path") -> DataFrame:
+    """Search hits with the whole text of their chunks in place of the snippet."""
+    return hits.drop("content").join(chunk_table.select(key, "content"), key)
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Merge decisions of a JSON array, or none where there is no file."""
+    schema = "decision_id string, type string, nodes array<string>, books array<string>, confidence double, resolved boolean, teacher_feedback string"
+    return or_else(spark, path, lambda p: spark.read.schema(schema).json(p, multiLine=True), schema).where("decision_id is not null")
 
 
 def or_else(spark: SparkSession, path: str, read, schema: str) -> DataFrame:

@@ -10,8 +10,8 @@ from graphloom.operators.feedback import updated
 SCHEMA = "feedback_id string, ts timestamp, decision_id string, feedback string"
 
 
-def upsert_stream(stream: DataFrame, read_decisions, write_decisions, checkpoint: str, late: str = "1 hour"):
-    """Start a query that applies each micro-batch to the decisions.
+def upsert_stream(stream: DataFrame, read_decisions, write_decisions, checkpoint: str, late: str = "1 hour", export=None):
+    """Start a query that applies each micro-batch to the decisions and, where export(batch_id) is given, exports them anew.
 
     Retries are dropped by feedback_id within the watermark; read_decisions() and write_decisions(df, batch_id) must make a
     batch that is replayed overwrite its own version.
@@ -20,6 +20,8 @@ def upsert_stream(stream: DataFrame, read_decisions, write_decisions, checkpoint
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         write_decisions(updated(read_decisions(), batch), batch_id)
+        if export is not None:
+            export(batch_id)
 
     return once.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

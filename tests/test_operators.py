@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import noise as N
 from graphloom.functions import text as T
-from graphloom.operators import acyclic, essence, feedback, graph, merge, models, retrieval, sections, triples
+from graphloom.operators import acyclic, engine, essence, feedback, graph, merge, models, order, retrieval, sections, triples
 from graphloom.plans.rebuild import rebuild
-from graphloom.sources import office, readers, writers
+from graphloom.sources import config, office, readers, writers
 from graphloom.streaming.feedback import SCHEMA, upsert_stream
 
 
@@ -59,6 +59,86 @@ def test_office_readers(spark, tmp_path):
         readers.load_markdown(spark, str(tmp_path / "missing")).collect()
 
 
+def block(text, y, size, font="Serif", flags=0, x=50):
+    return {"bbox": (x, y, x + 200, y + size), "spans": [{"text": text, "size": size, "font": font, "flags": flags}]}
+
+
+PAGES = [
+    {"height": 800, "blocks": [block("running head", 20, 9), block("Body text that is long enough to be the commonest size of all", 300, 11), block("第一章 总论", 100, 18), block("Topic in larger type", 200, 14.2), block("right column", 300, 11, x=300), block("more body", 400, 11)]},
+    {"height": 800, "blocks": [block("  ", 100, 11), block("17", 780, 9)]},
+    {"height": 800, "blocks": [block("病例 one.....", 90, 11), block("一、定义", 150, 11), block("A bold line", 200, 11.6, "Serif-Bold"), block("plain end", 300, 11)]},
+]
+
+
+def test_pdf_layout():
+    assert office.layout(PAGES).split("\n\n") == [
+        "<!-- page: 1 -->", "# 第一章 总论", "## Topic in larger type", "Body text that is long enough to be the commonest size of all", "right column", "more body",
+        "<!-- page: 2 -->", "> no extractable text on this page", "<!-- page: 3 -->", "病例 one...", "### 一、定义", "### A bold line", "plain end",
+    ]
+    assert [x for x in office.layout_script(PAGES).split("\n") if x] == ["# 第一章 总论", "## Topic in larger type", "Body text that is long enough to be the commonest size of all", "right column", "more body", "### 💡 病例 one...", "### 一、定义", "A bold line", "plain end"]
+    assert office.layout([]) == "" and office.layout_script([]) == ""
+
+
+def test_env_and_status():
+    values = config.env_values("# note\nA=1\n B = 'two words' \nbad line\nC=\n=x\nA2=\"q=r\"")
+    into = {"A": "kept"}
+    config.settle(values, into)
+    assert values == {"A": "1", "B": "two words", "C": "", "A2": "q=r"} and into == {"A": "kept", "B": "two words", "C": "", "A2": "q=r"}
+
+
+def test_links_and_decisions_as_written(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps({"edges": [{"source": {"id": "a", "name": "A"}, "target": "b", "relation": "parallel"}, {"source": {"name": "N"}, "target": "c"}, {"source": "x"}]}))
+    assert {(r.source, r.target) for r in readers.graph_edges(spark, str(tmp_path / "g.json")).collect()} == {("a", "b"), ("N", "c")}
+    (tmp_path / "d.json").write_text(json.dumps([{"decision_id": "D1", "type": "merge", "nodes": ["a"]}, {"type": "broken"}]))
+    assert [r.decision_id for r in readers.decisions(spark, str(tmp_path / "d.json")).collect()] == ["D1"]
+    assert readers.decisions(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_order_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([1.5, 2.0, 3.25, None, rng.random() * 9]), rng.randrange(4)) for i in range(500)]
+    d = spark.createDataFrame(rows, "id int, v double, w long")
+    kept = [r for r in rows if r[1] is not None]
+    got = {r.id: r.n for r in order.running(d.where("v is not null"), [F.col("v"), F.col("id")], "n").collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [r[0] for r in sorted(kept, key=lambda r: (r[1], r[0]))] and sorted(got.values()) == list(range(1, len(kept) + 1))
+    total, want = 0, {}
+    for i, v, w in sorted(kept, key=lambda r: (r[1], r[0])):
+        total += w
+        want[i] = total
+    assert {r.id: r.n for r in order.running(d.where("v is not null"), [F.col("v"), F.col("id")], "n", F.col("w")).collect()} == want
+    shares = (0.0, 0.2, 0.55, 0.85, 1.0)
+    exact = d.agg(F.percentile("v", F.array(*(F.lit(s) for s in shares))).alias("q")).first().q
+    assert order.quantiles(d, "v", shares) == exact and order.quantiles(d.where("id < 0"), "v", shares) == []
+    plan = order.running(d, [F.col("v")], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Window")[1]  # the window over rows is dealt by range
+
+
+def test_nearest_in_blocks_by_brute_force(spark):
+    rng = random.Random(7)
+    points = [(i, [float(rng.randrange(4)) for _ in range(3)]) for i in range(80)]
+    v = spark.createDataFrame(points, "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
+    want = {(j, r + 1): i for j, p in points[:9] for r, (_, i) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(p, o)), i) for i, o in points)[:6])}
+    for block_ in (4, 1024):
+        assert {(r.query_id, r["rank"]): r.vec_id for r in retrieval.knn(v, q, 6, block=block_).collect()} == want
+    assert retrieval.knn(v, q.limit(0), 6).count() == 0 and retrieval.knn(v.limit(0), q, 6).count() == 0
+
+
+def test_labels_in_chunks_by_brute_force(spark):
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("abc心肌") for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(99, None)]
+    labels = sorted({"".join(rng.choice("abc心肌1 ") for _ in range(rng.randrange(1, 5))) for _ in range(40)})
+    hit = []
+    for label in labels:
+        needle = "".join(c for c in label if c not in "1 ")
+        found = sorted((-(1 - t.find(needle) / len(t)), i) for i, t in texts if len(needle) >= 2 and t and needle in t)[:3]
+        hit += [(label, i, round(-s, 9), k + 1) for k, (s, i) in enumerate(found)]
+    d, l = spark.createDataFrame(texts, "chunk_id long, content string").repartition(3), spark.createDataFrame([(x,) for x in labels], "label string")  # noqa: E741
+    for block_ in (10, 10**6):
+        got = merge.label_in_chunk(l, d, block_chars=block_).collect()
+        assert sorted((r.label, r.chunk_id, round(r.score, 9), r["rank"]) for r in got) == sorted(hit)
+
+
 def test_pdf_needs_its_library():
     try:
         import fitz  # noqa: F401
@@ -191,9 +271,10 @@ def test_feedback_stream(spark, tmp_path):
     lines = [{"feedback_id": f, "ts": f"2024-01-01T00:0{i}:00", "decision_id": "d1", "feedback": x} for i, (f, x) in enumerate([("f1", "old"), ("f2", "new"), ("f1", "old")])]
     (folder / "a.json").write_text("\n".join(map(json.dumps, lines)))
     made, out = spark.createDataFrame([("d1",), ("d2",)], "decision_id string"), {}
-    q = upsert_stream(spark.readStream.schema(SCHEMA).json(str(folder)), lambda: made, lambda df, i: out.update({i: {r.decision_id: r.teacher_feedback for r in df.collect()}}), str(tmp_path / "state"))
+    exported = []
+    q = upsert_stream(spark.readStream.schema(SCHEMA).json(str(folder)), lambda: made, lambda df, i: out.update({i: {r.decision_id: r.teacher_feedback for r in df.collect()}}), str(tmp_path / "state"), export=exported.append)
     q.awaitTermination(120)
-    assert any(v == {"d1": "new", "d2": None} for v in out.values())
+    assert any(v == {"d1": "new", "d2": None} for v in out.values()) and exported == sorted(out)
 
 
 def test_rebuild(spark, tmp_path):
@@ -205,8 +286,17 @@ def test_rebuild(spark, tmp_path):
     nodes = {r.id for r in out["snapshot_nodes"].collect()}
     assert nodes and all(r.source in nodes and r.target in nodes for r in out["snapshot_links"].collect())
     assert out["report"].first().nodes_after < out["report"].first().nodes_before and out["essence"].count() == len(nodes)
-    writers.write_index(chunks.withColumnRenamed("path", "chunk_id"), str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index/terms")).count() > 0
+    index = engine.Engine(spark, str(tmp_path / "index"))
+    assert not index.built() and index.built_from(lambda: chunks.withColumn("chunk_id", F.col("path"))).built()
+    asked = spark.createDataFrame([(0, "心肌细胞膜"), (1, "nothing of it")], "query_id int, question string")
+    hits = index.search(asked, 2)
+    assert "心肌细胞膜" in hits.where("query_id = 0 and rank = 1").first().content
+    told = {r.query_id: r for r in engine.answers(engine.prompts(asked, hits.where("query_id = 0")), lambda p: [t[-20:] for t in p]).collect()}
+    assert told[0].answer.endswith("请回答：") and len(told[0].citations) == 2 and told[0].citations[0].source in ("一本教材", "二本教材") and told[1].answer == "针对「nothing of it」，在教材中未找到足够相关的内容。"
+    (off,) = engine.answers(engine.prompts(asked.where("query_id = 0"), hits), models.offline).collect()
+    assert off.answer.startswith("针对「心肌细胞膜」，检索到 2 条相关段落。")
+    counts = {r.artifact: r.files for r in engine.status(spark, str(tmp_path), {"graphs": "out/merged", "search_index": "index/terms", "none": "missing"}).collect()}
+    assert counts["graphs"] > 0 and counts["search_index"] > 0 and counts["none"] == 0
 
 
 def test_semantic_candidates_inside_words(spark):
