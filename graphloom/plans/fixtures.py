@@ -1,4 +1,4 @@
-"""Inputs of the registered queries: graphs and markdown derived from the star tables, and literal rows."""
+"""Inputs of the registered queries: graphs, labels, markdown and replies derived from all rows of the tables."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def triples_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples of six books: suppliers and brands of selected line items."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_discount >= 0.09")  # noqa: E741
+    """Triples of six books: suppliers and brands of all line items."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     odd = F.col("l_linenumber") % 2 == 1
@@ -31,7 +31,7 @@ a AS (
          CASE l_orderkey % 4 WHEN 0 THEN 'prerequisite' WHEN 1 THEN 'parallel' WHEN 2 THEN 'containment' ELSE 'application' END AS relation,
          CASE WHEN l_linenumber % 2 = 1 THEN p_brand ELSE s_name END AS object, l_discount AS confidence, 'order ' || l_orderkey AS evidence,
          'ch' || (l_orderkey % 7) AS chapter, 'p' || (l_orderkey % 3) AS source_path, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45 AND l_discount >= 0.09
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
 ), e AS (
   SELECT book_id, subject AS source, object AS target, arg_min(relation, seq) AS relation, max(confidence) AS confidence,
          string_agg(evidence, ';' ORDER BY seq) AS evidence, count(*) AS triples FROM a GROUP BY ALL
@@ -41,20 +41,22 @@ a AS (
 
 
 def edges_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph with triangles and self-loops: nations of customers and suppliers of selected line items."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09").select("l_orderkey", "l_suppkey")  # noqa: E741
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n1"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n2"))
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    a, b = n.withColumnsRenamed({"n_nationkey": "n1", "n_name": "source"}), n.withColumnsRenamed({"n_nationkey": "n2", "n_name": "target"})
-    return l.join(o, "l_orderkey").join(c, "c_custkey").join(s, "l_suppkey").join(a, "n1").join(b, "n2").select("source", "target").distinct()
+    """A graph with triangles, cycles and self-loops: customers, their suppliers, and the nations of both."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string") if isinstance(key, str) else key.cast("string"))
+    pair = lambda df, a, b: df.select(a.alias("source"), b.alias("target"))
+    bought = pair(l.join(o, F.col("l_orderkey") == F.col("o_orderkey")), name("C", "o_custkey"), name("S", "l_suppkey"))
+    lives = pair(c, name("C", "c_custkey"), name("N", "c_nationkey")).unionByName(pair(s, name("S", "s_suppkey"), name("N", "s_nationkey")))
+    around = pair(n, name("N", "n_nationkey"), name("N", F.col("n_nationkey") * F.col("n_nationkey") % 25)).unionByName(pair(c, name("N", F.col("c_custkey") % 25), name("C", "c_custkey")))
+    return bought.unionByName(lives).unionByName(around).distinct()
 
 
 EDGES_B = """
 b AS (
-  SELECT DISTINCT x.n_name AS source, y.n_name AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation x ON c_nationkey = x.n_nationkey JOIN nation y ON s_nationkey = y.n_nationkey WHERE l_quantity >= 50 AND l_discount >= 0.09
+  SELECT 'C' || o_custkey AS source, 'S' || l_suppkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
+  UNION SELECT 'N' || n_nationkey, 'N' || (n_nationkey * n_nationkey % 25) FROM nation UNION SELECT 'N' || (c_custkey % 25), 'C' || c_custkey FROM customer
 ), ends AS (
   SELECT source AS id FROM b UNION ALL SELECT target FROM b
 ), und AS (
@@ -111,13 +113,55 @@ MARKS = [
     "# 前言\n没有标题的内容很短。\n", "正文没有标题,只有很长的一句话,说明神经系统与内分泌调节有关,参与代谢。",
     "# 绪论\n开头\n## 第一节 概述\n内容一内容一内容一\n## 第二节 方法\n内容二内容二内容二\n# 第二章 呼吸\n内容三内容三内容三\n## 第一节 概述\n内容四内容四内容四\n",
 ]
-REPLIES = ["YES, same", "no - differ", "Maybe NO", " It is YES", "unclear", "", "```json\n[{\"subject\": \"ab\", \"relation\": \"contains\", \"object\": \"cd\"}]\n```", "x {\"subject\": \"q\", \"relation\": \"parallel\", \"object\": \"r\"} y {broken} ", "[not json {\"subject\": \"s\", \"relation\": \"includes\", \"object\": \"t\"}]"]
+HEADS = ["第一章 总论", "一、定义", "(3)分类", "1.2 方法", "Big title", "第二节 内容", "绪论", "body", "Chapter 4", "第三编概说"]
+DIRTY = ["a....b", "  x\t\ty  ", "p\n\n\n\nq", "全　角", "bad�char", "", ".....", "end \n"]
 
 
-def literals(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "i long, t string")
+def picked(values: list[str], key):
+    """The value whose number is the key modulo their count."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (key % len(values) + 1).cast("int"))
 
 
-def values_sql(values: list[str]) -> str:
-    """lit(i, t) of the same rows."""
-    return "lit(i, t) AS (VALUES " + ", ".join("(%d::BIGINT, '%s')" % (i, v.replace("'", "''")) for i, v in enumerate(values)) + ")"
+def picked_sql(values: list[str], key: str) -> str:
+    return "([" + ", ".join("'%s'" % v.replace("'", "''") for v in values) + f"])[{key} % {len(values)} + 1]"
+
+
+WORD = r"(\p{L}+)"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, word (the first one), body (the whole text, with line feeds and blanks as its only blanks) of every document."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x09\\x0b-\\x1f\\x85\\u00a0\\u2028\\u2029\\u3000]", " ")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.regexp_extract(F.coalesce("text", F.lit("")), WORD, 1).alias("word"), t.alias("body"))
+
+
+DOCUMENTS = r"""dw AS (SELECT doc_id AS i, regexp_extract(coalesce(text, ''), '(\p{L}+)', 1) AS word, regexp_replace(coalesce(text, ''), '[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]', ' ', 'g') AS body FROM documents)"""
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, t: a label for every document, two thirds of them with a word of its own."""
+    label = picked(LABELS, F.col("i"))
+    return documents(spark, sf_dir).select("i", F.when(F.col("i") % 3 == 0, label).otherwise(F.concat(label, F.lit(" "), "word")).alias("t"))
+
+
+LABELS_SQL = f"{DOCUMENTS}, lit AS (SELECT i, CASE WHEN i % 3 = 0 THEN {picked_sql(LABELS, 'i')} ELSE {picked_sql(LABELS, 'i')} || ' ' || word END AS t FROM dw)"
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, t: markdown with chapters, sections and the whole text of every document."""
+    return documents(spark, sf_dir).select("i", F.concat(picked(MARKS, F.col("i")), F.lit("\n## "), "word", F.lit("的结构\n"), "body").alias("t"))
+
+
+MARKS_SQL = f"{DOCUMENTS}, lit AS (SELECT i, {picked_sql(MARKS, 'i')} || chr(10) || '## ' || word || '的结构' || chr(10) || body AS t FROM dw)"
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, t: what a model may say, with two words of every turn of a conversation."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("i"), *(F.regexp_extract(F.coalesce("text", F.lit("")), r"([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)", k).alias(f"w{k}") for k in (1, 2)))
+    a, b = F.col("w1"), F.col("w2")
+    said = [("YES, ", a, ""), ("no - ", a, ""), ("Maybe NO ", a, ""), (" It is YES ", a, " "), ("unclear ", a, ""), ("", a, ""), ('```json\n[{"subject": "ab', a, '", "relation": "contains", "object": "cd%s"}]\n```'), ('x {"subject": "q', a, '", "relation": "parallel", "object": "r%s"} y {broken} '), ('[not json {"subject": "s', a, '", "relation": "includes", "object": "t%s"}]')]
+    forms = [F.concat(F.lit(x), y, F.lit(z.split("%s")[0]), *((b, F.lit(z.split("%s")[1])) if "%s" in z else ())) for x, y, z in said]
+    return c.select("i", F.element_at(F.array(*forms), (F.col("i") % len(forms) + 1).cast("int")).alias("t"))
+
+
+REPLIES_SQL = r"""cw AS (SELECT (conv_id * 1000 + turn)::BIGINT AS i, regexp_extract(coalesce(text, ''), '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 1) AS w1, regexp_extract(coalesce(text, ''), '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2) AS w2 FROM conversations)"""

@@ -1,4 +1,4 @@
-"""Registered queries: one for each operator, over whole tables."""
+"""Registered queries: one for each operator, over all rows of the tables that it reads."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import noise as N
 from graphloom.functions import text as T
-from graphloom.operators import acyclic, essence, export, feedback, graph, merge, retrieval, sections, triples
+from graphloom.operators import acyclic, engine, essence, export, feedback, graph, merge, retrieval, sections, triples
+from graphloom.operators.models import offline
+from graphloom.operators.state import scratch
 from graphloom.plans import fixtures as X
 from graphloom.plans.fixtures import table
+from graphloom.sources import readers, writers
 
 QUERIES = {}
 QUESTION = "with then that inthion of the ring"
@@ -47,14 +50,13 @@ def bm25_topk(spark, d):
 
 @query
 def corpus_term_stats(spark, d):
-    index = retrieval.postings(docs(spark, d))
-    return retrieval.idf(index, retrieval.corpus(docs(spark, d))).select("term", "df", r6("idf").alias("idf"))
+    return retrieval.idf(retrieval.statistics(docs(spark, d))).select("term", "df", r6("idf").alias("idf"))
 
 
 @query
 def vector_knn_l2(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id < 10").withColumnRenamed("vec_id", "query_id")
+    q = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return retrieval.knn(v, q, 5).select("query_id", "vec_id", r6("distance").alias("distance"), "rank")
 
 
@@ -62,9 +64,28 @@ def vector_knn_l2(spark, d):
 def hybrid_search(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     text = docs(spark, d).join(v.select("chunk_id"), "chunk_id")
-    q = v.where("chunk_id = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    far = retrieval.knn(v.join(text.select("chunk_id"), "chunk_id"), q, 10**9, key="chunk_id")
-    return retrieval.hybrid(retrieval.bm25(text, ask(spark)), far, 5).select("chunk_id", r6("score").alias("score"))
+    q = v.where("chunk_id = 0").select(F.lit(0).alias("query_id"), "embedding")
+    far = retrieval.all_distances(v.join(text.select("chunk_id"), "chunk_id"), q)
+    return retrieval.fused(retrieval.bm25(text, ask(spark)), far, 5).select("chunk_id", r6("score").alias("score"))
+
+
+@query
+def engine_search(spark, d):
+    """Built into tables, opened from them, asked three questions by keyword and vector."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    text = docs(spark, d).join(v.select("chunk_id"), "chunk_id").withColumn("path", F.concat(F.lit("books/"), "book_id", F.lit("/c_"), F.col("chunk_id").cast("string"), F.lit(".md")))
+    asked = v.where("chunk_id in (0, 1, 2)").select(F.col("chunk_id").cast("int").alias("query_id"), F.lit(QUESTION).alias("question"), "embedding")
+    hits = engine.Engine(spark, scratch(spark, "engine")).built_from(lambda: text, lambda: v.join(text.select("chunk_id"), "chunk_id")).search(asked, 5)
+    return hits.select("query_id", "rank", "chunk_id", "path", r6("score").alias("score"))
+
+
+@query
+def rag_answer(spark, d):
+    """Answers without a model: the fallback that cites the best hits."""
+    text = docs(spark, d).withColumn("path", F.concat(F.lit("books/"), "book_id", F.lit("/c_"), F.col("chunk_id").cast("string"), F.lit("_x.md")))
+    hits = retrieval.top(retrieval.bm25(text, ask(spark)), 5).join(text, "chunk_id").withColumn("content", T.snippet(F.col("content"))).withColumn("score", F.round("score", 9))
+    told = engine.answers(engine.prompts(ask(spark), hits), offline)
+    return told.select("answer", F.transform("citations", lambda c: F.concat_ws("|", c.source, c.chapter, c.page, c.score.cast("string"))).alias("cited")).withColumn("cited", joined("cited"))
 
 
 @query
@@ -103,9 +124,10 @@ def related_links(spark, d):
 
 @query
 def compose_answer(spark, d):
-    n = X.nodes_p(spark, d)
-    links = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "d", "e")], "pos int, source string, target string")
-    return retrieval.answer("ring", retrieval.graph_query(n, "ring", 1), links)
+    matched = retrieval.graph_query(X.nodes_p(spark, d), "ring", 1)
+    e = graph.merged_edges(graph.edges(X.triples_a(spark, d)))
+    links = e.select(F.concat("source", F.lit(">"), "target").alias("pos"), "source", "target")
+    return retrieval.answer("ring", matched, retrieval.related_links(links, matched.select(F.col("books")[0].alias("id")), 8))
 
 
 @query
@@ -151,24 +173,24 @@ def chunk_filter(spark, d):
 
 @query
 def clean_text(spark, d):
-    rows = X.literals(spark, ["a....b", "  x\t\ty  ", "p\n\n\n\nq", "全　角", "bad�char", "", ".....", "end \n"])
-    return rows.select("i", T.clean_text(F.col("t")).alias("clean"))
+    rows = X.documents(spark, d).select("i", F.concat(X.picked(X.DIRTY, F.col("i")), "body").alias("t"))
+    return rows.select("i", F.md5(T.clean_text(F.col("t")).cast("binary")).alias("clean"))
 
 
 @query
 def clean_label(spark, d):
-    return X.literals(spark, X.LABELS).select("i", T.clean_label(F.col("t")).alias("label"))
+    return X.labels(spark, d).select("i", T.clean_label(F.col("t")).alias("label"))
 
 
 @query
 def noise_flags(spark, d):
     t = F.col("t")
-    return X.literals(spark, X.LABELS).select("i", N.BUILDER(t).alias("builder"), N.MERGER(t).alias("merger"), N.ESSENCE(t).alias("essence"), N.EXPORT(t).alias("export"))
+    return X.labels(spark, d).select("i", N.BUILDER(t).alias("builder"), N.MERGER(t).alias("merger"), N.ESSENCE(t).alias("essence"), N.EXPORT(t).alias("export"))
 
 
 @query
 def valid_label(spark, d):
-    return X.literals(spark, X.LABELS).select("i", N.valid_concept(F.col("t")).alias("valid"))
+    return X.labels(spark, d).select("i", N.valid_concept(F.col("t")).alias("valid"))
 
 
 @query
@@ -196,14 +218,14 @@ def natural_sort(spark, d):
 
 @query
 def sentences(spark, d):
-    return X.literals(spark, X.MARKS).select("i", F.posexplode(T.sentences(F.col("t"))).alias("k", "sentence"))
+    return X.marks(spark, d).select("i", F.posexplode(T.sentences(F.col("t"))).alias("k", "sentence"))
 
 
 @query
 def heading_levels(spark, d):
-    rows = [("第一章 总论", 11.0, 11.0, 18.0, False), ("一、定义", 11.0, 11.0, None, False), ("(3)分类", 11.0, 11.0, None, False), ("1.2 方法", 11.0, 11.0, None, False), ("Big title", 18.0, 11.0, 18.0, False), ("Mid title", 14.0, 11.0, 18.0, False), ("Bold", 11.6, 11.0, 18.0, True), ("body", 11.0, 11.0, 18.0, False), ("Chapter 4", 9.0, 11.0, None, False), ("绪论", 11.0, 11.0, None, False)]
-    f = spark.createDataFrame(rows, "t string, size double, common double, largest double, bold boolean")
-    return f.select("t", T.heading_level(*(F.col(c) for c in ("t", "size", "common", "largest", "bold"))).alias("level"))
+    t = F.when(F.col("i") % 2 == 0, X.picked(X.HEADS, F.col("i"))).otherwise(F.concat(X.picked(X.HEADS, F.col("i")), F.lit(" "), "word"))
+    size, largest = F.lit(9.0) + F.col("i") % 11, F.when(F.col("i") % 3 > 0, F.lit(18.0))
+    return X.documents(spark, d).select("i", T.heading_level(t, size, F.lit(11.0), largest, F.col("i") % 5 == 0).alias("level"))
 
 
 @query
@@ -213,7 +235,7 @@ def page_numbers(spark, d):
 
 @query
 def display_labels(spark, d):
-    return docs(spark, d).select("chunk_id", T.display_label(F.substring("content", 1, 100)).alias("label"))
+    return docs(spark, d).select("chunk_id", T.display_label(F.col("content")).alias("label"))
 
 
 # sections and chunks
@@ -237,34 +259,35 @@ def section_metadata(spark, d):
     return s.select("conv_id", F.col("index").alias("idx"), F.col("metadata")["section_id"].alias("section_id"), F.col("metadata")["char_count"].alias("char_count"))
 
 
-def marks(spark):
-    return X.literals(spark, X.MARKS).withColumnRenamed("t", "markdown")
+def marks(spark, d):
+    return X.marks(spark, d).withColumnRenamed("t", "markdown")
 
 
 @query
 def chapter_chunks(spark, d):
-    return sections.chapter_chunks(marks(spark), ["i"]).select("i", "part", "chapter", "section", F.length("content").alias("chars"))
+    return sections.chapter_chunks(marks(spark, d), ["i"]).select("i", "part", "chapter", "section", F.length("content").alias("chars"))
 
 
 @query
 def chunk_last_wins(spark, d):
-    c = sections.chapter_chunks(marks(spark), ["i"]).withColumn("section", F.substring("section", 1, 3))
+    c = sections.chapter_chunks(marks(spark, d), ["i"]).withColumn("section", F.substring("section", 1, 3))
     return sections.saved_chunks(c, ["i"]).select("i", "name", "overwritten", F.length("content").alias("chars"))
 
 
 @query
 def virtual_chunks(spark, d):
-    return sections.virtual_chunks(marks(spark), ["i"]).select("i", "part", "title")
+    return sections.virtual_chunks(marks(spark, d), ["i"]).select("i", "part", "title")
 
 
-def book(spark):
-    c = X.literals(spark, X.MARKS[:1] + X.MARKS[2:3]).select(F.lit("03_生理学").alias("book_id"), F.col("i").alias("chunk_pos"), F.concat(F.lit("chunks/03_生理学/循环_"), F.col("i").cast("string"), F.lit(".md")).alias("path"), F.col("t").alias("content"))
-    return sections.chunk_identity(c)
+def book(spark, d):
+    """Every document as a book of one chunk."""
+    path = F.concat(F.lit("chunks/03_生理学/"), F.regexp_extract("t", X.WORD, 1), F.lit("_"), F.col("i").cast("string"), F.lit(".md"))
+    return sections.chunk_identity(X.marks(spark, d).select(F.concat(F.lit("03_生理学 "), F.col("i").cast("string")).alias("book_id"), F.col("i").alias("chunk_pos"), path.alias("path"), F.col("t").alias("content")))
 
 
 @query
 def chunk_identity(spark, d):
-    return book(spark).select("chunk_pos", "chapter", "section")
+    return book(spark, d).select("chunk_pos", "chapter", "section")
 
 
 # triples
@@ -278,9 +301,8 @@ def adjacent_parallel(spark, d):
 
 @query
 def section_order_prereq(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "event_id", F.lag("event_type").over(w).alias("source"), F.col("event_type").alias("target"))
-    return e.where("source is not null").groupBy("source", "target").agg(F.count("*").alias("n"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("book_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("chunk_pos"), F.lit("p").alias("path"), F.lit("c").alias("chapter"), F.col("event_type").alias("section"))
+    return triples.section_order(e).groupBy(F.col("subject").alias("source"), F.col("object").alias("target")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -292,18 +314,18 @@ def acyclic_prereqs(spark, d):
 
 @query
 def containment_triples(spark, d):
-    c = book(spark)
-    return triples.containment(c, triples.subheadings(c)).select("chapter", "section", "subject", "object", "confidence")
+    c = book(spark, d)
+    return triples.containment(c, triples.subheadings(c)).select("book_id", "chapter", "section", "subject", "object", "confidence")
 
 
 @query
 def application_triples(spark, d):
-    return triples.applications(book(spark)).select(F.col("seq.chunk_pos").alias("chunk_pos"), "subject", "object", "confidence")
+    return triples.applications(book(spark, d)).select(F.col("seq.chunk_pos").alias("chunk_pos"), "subject", "object", "confidence")
 
 
 @query
 def extract_triples(spark, d):
-    return triples.extract(book(spark)).groupBy("relation").agg(F.count("*").alias("n"))
+    return triples.extract(book(spark, d)).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query
@@ -353,7 +375,7 @@ def graph_quality(spark, d):
 
 @query
 def low_degree(spark, d):
-    return graph.degree(graph.edges(X.triples_a(spark, d)), ("book_id",)).where("degree <= 1").select("book_id", "id")
+    return graph.degree(X.edges_b(spark, d)).where("degree <= 30").select("id")
 
 
 @query
@@ -388,7 +410,7 @@ def two_cycles(spark, d):
 
 @query
 def reachability(spark, d):
-    return graph.reachable(X.edges_b(spark, d), "NATION_1")
+    return graph.reachable(X.edges_b(spark, d), "N1")
 
 
 @query
@@ -435,9 +457,13 @@ def noise_stats(spark, d):
 
 @query
 def semantic_candidates(spark, d):
-    hits = docs(spark, d).select("book_id", F.concat(F.lit("label"), F.col("chunk_id").cast("string")).alias("label"), "chunk_id", F.lit(0.8).alias("score"), "content")
+    text = docs(spark, d)
+    asked = text.select(F.col("chunk_id").alias("query_id"), "book_id", F.concat(F.lit("label"), F.col("chunk_id").cast("string")).alias("label"), F.regexp_extract("content", r"([A-Za-z]{6,})", 1).alias("question")).where("query_id % 100 = 0 and question <> ''")
+    found = retrieval.top(retrieval.bm25(text, asked), 10)
+    best = found.groupBy("query_id").agg(F.max("score").alias("most"))
+    hits = found.join(best, "query_id").join(asked, "query_id").select("book_id", "label", "chunk_id", r6(F.col("score") / F.col("most")).alias("score")).join(text.select("chunk_id", "content"), "chunk_id")
     labels = docs(spark, d).select("book_id", F.lower(F.regexp_extract("content", r"^([A-Za-z]+)", 1)).alias("label")).where(F.length("label") >= 4).distinct()
-    return merge.semantic_candidates(hits, labels).select("b1", "l1", "b2", "l2")
+    return merge.semantic_candidates(hits, labels).select("b1", "l1", "b2", "l2", "chunk_id")
 
 
 def decisions(spark, d):
@@ -562,7 +588,7 @@ def given(spark, d):
 
 @query
 def feedback_upsert(spark, d):
-    made = table(spark, d, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("decision_id"), F.col("o_orderstatus").alias("type"))
+    made = table(spark, d, "orders").select(F.col("o_orderkey").alias("decision_id"), F.col("o_orderstatus").alias("type"))
     return feedback.updated(made, given(spark, d)).select("decision_id", "type", "teacher_feedback", "status", "resolved")
 
 
@@ -575,14 +601,14 @@ def windowed_counts(spark, d):
 
 @query
 def cache_miss(spark, d):
-    asked = table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 200).alias("head"))
+    asked = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("head"))
     held = asked.where("doc_id % 3 = 0").select(T.cache_key(F.col("source"), F.col("head")).alias("key"))
     return feedback.misses(asked, held, "source", "head").select("doc_id", "key")
 
 
 @query
 def llm_json_parse(spark, d):
-    rows = X.literals(spark, X.REPLIES).select("i", F.explode(T.json_objects(F.col("t"), "struct<subject:string,relation:string,object:string>")).alias("o"))
+    rows = X.replies(spark, d).select("i", F.explode(T.json_objects(F.col("t"), "struct<subject:string,relation:string,object:string>")).alias("o"))
     return rows.select("i", "o.subject", "o.relation", "o.object")
 
 
@@ -590,10 +616,149 @@ def llm_json_parse(spark, d):
 def llm_triples(spark, d):
     from graphloom.operators.models import valid_reply
 
-    rows = X.literals(spark, X.REPLIES).select("i", F.explode(T.json_objects(F.col("t"), "struct<subject:string,relation:string,object:string,evidence:string>")).alias("o"))
+    rows = X.replies(spark, d).select("i", F.explode(T.json_objects(F.col("t"), "struct<subject:string,relation:string,object:string,evidence:string>")).alias("o"))
     return valid_reply(rows.select("i", F.concat(F.lit("心肌细胞膜"), "o.subject").alias("subject"), "o.relation", F.concat("o.object", F.lit("血管内皮细胞")).alias("object"), F.lit("said").alias("evidence"))).select("i", "relation", "object")
 
 
 @query
 def verdict_parse(spark, d):
-    return X.literals(spark, X.REPLIES).select("i", T.verdict(F.col("t")).alias("v")).select("i", "v.same", "v.confidence")
+    return X.replies(spark, d).select("i", T.verdict(F.col("t")).alias("v")).select("i", "v.same", "v.confidence")
+
+
+# sources and sinks
+
+
+def sections_of(spark, d):
+    s = sections.split_sections(X.markdown(spark, d), ["conv_id"])
+    return s.select(F.concat(F.lit("book"), F.col("conv_id").cast("string")).alias("book_id"), "title", "markdown", "index")
+
+
+@query
+def markdown_files(spark, d):
+    """Sections written as markdown files, a folder a book, and read back through the directory scan and the format router."""
+    path = scratch(spark, "markdown")
+    writers.write_markdown_files(sections_of(spark, d), path)
+    got = readers.load_markdown(spark, path)
+    return got.select("book_id", "source_type", F.length("markdown").alias("chars"), F.md5(F.col("markdown").cast("binary")).alias("md5"))
+
+
+@query
+def chunk_files(spark, d):
+    """Every document as a markdown file, read back by the chunk scan, which leaves out short ones."""
+    path = scratch(spark, "chunks")
+    made = docs(spark, d).select(F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("book_id"), F.col("content").alias("markdown"), F.lit(0).alias("index"))
+    writers.write_markdown_files(made, path)
+    return readers.chunks(spark, path).select(F.col("chunk_name").alias("name"), F.length("content").alias("chars"))
+
+
+@query
+def book_chunk_choice(spark, d):
+    """Which books are chunked anew from their root text: those with few chunks, or small ones against it."""
+    parts = docs(spark, d).select(F.concat(F.lit("b"), (F.col("chunk_id") % 97).cast("string")).alias("book_id"), "content")
+    roots = table(spark, d, "pages").select(F.concat(F.lit("b"), F.col("page_id").cast("string")).alias("book_id"), F.coalesce("html", F.lit("")).alias("markdown"))
+    return readers.book_chunks(parts, roots)
+
+
+@query
+def graph_files(spark, d):
+    """A merged graph written as JSON and read back."""
+    path = scratch(spark, "graph")
+    writers.write_node_link(graph.merged_edges(graph.edges(X.triples_a(spark, d))), path)
+    return readers.graph_edges(spark, path).select("source", "target", "relation", joined("books").alias("books"), "confidence")
+
+
+@query
+def triple_files(spark, d):
+    """Triples written as JSON files of their books and read back, for one book."""
+    path = scratch(spark, "triples")
+    writers.write_triples(X.triples_a(spark, d), path)
+    t = readers.triples(spark, path, ["AF", "RF"])
+    return t.groupBy("book_id", "relation").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
+
+
+@query
+def feedback_log(spark, d):
+    """Feedback appended in two batches and read back; the last one of each decision."""
+    path = scratch(spark, "feedback")
+    for k in (0, 1):
+        writers.append_feedback(given(spark, d).where(F.col("event_id") % 2 == k), path)
+    return feedback.latest(readers.or_else(spark, path, lambda p: spark.read.schema("decision_id long, ts timestamp, event_id long, feedback string").json(p), "decision_id long"), at=("ts", "event_id")).select("decision_id", "event_id", "feedback")
+
+
+@query
+def merged_checks(spark, d):
+    return graph.checks(graph.merged_edges(graph.edges(X.triples_a(spark, d)))).withColumn("examples", joined("examples"))
+
+
+@query
+def tier_coverage(spark, d):
+    return essence.coverage(compressible(spark, d).withColumn("content", F.when(F.col("id") % 4 > 0, F.col("content"))))
+
+
+@query
+def induced_subgraph(spark, d):
+    e = X.edges_b(spark, d)
+    return graph.induced(e, graph.degree(e).where("degree >= 40").select("id"))
+
+
+@query
+def clean_text_script(spark, d):
+    rows = X.documents(spark, d).select("i", F.concat(X.picked(X.DIRTY, F.col("i")), "body").alias("t"))
+    return rows.select("i", F.md5(T.clean_text_script(F.col("t")).cast("binary")).alias("clean"))
+
+
+@query
+def script_headings(spark, d):
+    t = F.concat(X.picked([*X.HEADS, "临床病例分析", "病例"], F.col("i")), F.lit(" "), "word")
+    sizes = F.when(F.col("i") % 4 == 0, F.array(F.lit(18.0))).otherwise(F.array(F.lit(18.0), F.lit(15.0)))
+    level, text = T.heading_level_script(t, F.lit(9.0) + F.col("i") % 11, F.lit(11.0), sizes)
+    return X.documents(spark, d).select("i", level.alias("level"), text.alias("t"))
+
+
+@query
+def shown_sizes(spark, d):
+    n = F.octet_length(F.coalesce("html", F.lit("")))
+    return table(spark, d, "pages").select("page_id", T.size_text(n * F.pow(F.lit(10), F.col("page_id") % 5).cast("long")).alias("size"), T.percent((n % 1000) / 1000).alias("share"))
+
+
+@query
+def active_report(spark, d):
+    """Reports by source; every other source has a strict one."""
+    n = docs(spark, d).groupBy("book_id").agg(F.sum(F.length("content")).alias("original_chars"), F.sum(F.least(F.length("content"), F.lit(900))).alias("compressed_chars"), F.max("chunk_id").alias("last"))
+    raw = n.withColumn("ratio", r6(F.col("compressed_chars") / F.col("original_chars")))
+    strict = raw.where("last % 2 = 0").withColumn("compressed_chars", F.floor(F.col("compressed_chars") / 2)).withColumn("ratio", r6(F.col("compressed_chars") / F.col("original_chars")))
+    return essence.active_report(raw, strict, "book_id")
+
+
+@query
+def node_preview(spark, d):
+    return essence.preview(docs(spark, d).select("chunk_id", "content"))
+
+
+@query
+def summary_prompts(spark, d):
+    """What a model is asked, and what stands in for its reply; every third node has one."""
+    n = compressible(spark, d)
+    reply = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" said "), F.col("content"), F.lit(" ")))
+    ask, said = essence.summary_prompt(F.col("tier"), F.col("label"), F.col("content")), essence.model_summary(F.col("tier"), reply, F.col("label"), F.col("content"))
+    return n.select("id", F.md5(ask.cast("binary")).alias("prompt"), said.alias("summary"))
+
+
+@query
+def chunk_sample(spark, d):
+    from graphloom.operators import models
+
+    return models.sample(docs(spark, d).withColumn("chunk_name", F.format_string("c%09d", "chunk_id"))).select("book_id", "chunk_name", F.length("chunk_text").alias("chars"))
+
+
+@query
+def hit_content(spark, d):
+    """Search hits with the whole text of their chunks."""
+    text = docs(spark, d).withColumn("path", F.concat(F.lit("b/"), F.col("chunk_id").cast("string")))
+    hits = retrieval.top(retrieval.bm25(text, ask(spark)), 10).join(text.select("chunk_id", "path", F.substring("content", 1, 50).alias("content")), "chunk_id")
+    return readers.with_content(hits, text).select("rank", "chunk_id", F.length("content").alias("chars"))
+
+
+@query
+def resolutions(spark, d):
+    return feedback.latest(given(spark, d), at=("ts", "event_id")).select("decision_id", feedback.resolution(F.col("feedback"), F.col("ts")).alias("resolution"))
