@@ -4,11 +4,16 @@ The kernel counts common subsequences of three symbols with up to GAP - 1 other
 discounted by DECAY per character spanned, so insults with gaps or inserted characters keep most of their weight.  Symbols
 are letters folded for case, accents and look-alike digits; letters spelled out one by one are read as one word.
 
+Two machines share this kernel.  One is over whole sentences, across the breaks between their words, with sentences as
+landmarks; the other is over the words of a sentence, so that one insult in a long sentence is not drowned by the rest.
+
 Training reads a bounded, documented sample of labelled rows: SAMPLE_ROWS of each class, none longer than SAMPLE_CHARS.
-The words of clean sentences are negative; of each toxic document the most telling word is the positive witness, chosen
-first by document frequencies and then by the machine itself, with any words that tell beyond chance.  Landmarks come from both; the machine works in the
-landmarks' Nystroem space and is folded into one weight per subsequence, so scoring is a table look-up over whole texts.
-A document's margin is that of its worst word, turned into a probability on documents the machine was not fitted on.
+Labels belong to documents, so each toxic document gets a witness: of its words the most telling one, chosen first by document
+frequencies and then by the machine itself, with any words that tell beyond chance; of its sentences the one with the worst
+word, then the one that the sentence machine finds worst.  Words and sentences of clean documents are negative.  Landmarks come
+from both sides; a machine works in the landmarks' Nystroem space and is folded into one weight per subsequence, so scoring
+is a table look-up over whole texts.  A document's margins are those of its worst word and its worst sentence; both together are
+turned into a probability on documents that the machines were not fitted on.
 
 Defined results: null and empty texts get the probability of the lowest margin; without both classes to learn from, every
 score is the share of toxic rows (0 without rows); a null id is never held out; repeated rows score alike.
@@ -30,8 +35,10 @@ FIT_WORDS, BLOCK_CHARS = 24_000, 1_000_000
 FLOOR = -4.0
 #: Words whose margin would exceed this without adding up repeated subsequences get their exact norm.
 REFINE = -0.6
-#: Fits, each with the witnesses and the hard negatives of the one before.
-ROUNDS = 4
+#: Fits of words and of sentences, each with the witnesses and the hard negatives of the one before.
+ROUNDS, SENTENCE_ROUNDS = 4, 2
+#: Symbols of a sentence, beyond which it is cut; clean sentences that the machine is fitted on, and its landmarks.
+SENTENCE, FIT_SENTENCES, SENTENCE_LANDMARKS = 240, 2000, 120
 
 #: Symbols: 0 a break, 1-26 letters, 27-30 other letters and digits by code, 31 anything that is passed over.
 NONE, FILL, WIDTH = 0, 31, 32
@@ -58,15 +65,33 @@ def distinct_norm(n: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(1e-18, sum(w * w * np.maximum(0, n - a - b) for a, b, w in STEPS)))
 
 
-def symbols(text: str) -> np.ndarray:
-    """Symbols of a text between word breaks.  Filling, and breaks between single characters, are left out."""
+ENDS = np.array([ord(c) for c in ".!?。！？…"], dtype=np.uint32)
+
+
+def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a text with one break before, between and after its words, and which breaks end a sentence.
+
+    Filling, and breaks between single characters, are left out.
+    """
     code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     s = np.zeros(len(code) + 4, dtype=np.int32)
     s[2:-2] = np.where(code < len(TABLE), TABLE[np.minimum(code, len(TABLE) - 1)], 27 + code % 4)
     gap = s == NONE
+    stop = np.ones(len(s), dtype=bool)
+    stop[2:-2] = code == 10
+    stop[3:-2] |= np.isin(code[:-1], ENDS)
     single = gap[2:-2] & gap[:-4] & gap[4:] & ~gap[1:-3] & ~gap[3:-1]
     s[2:-2][single] = FILL
-    return s[s != FILL]
+    s, stop = s[s != FILL], stop[s != FILL]
+    gap = s == NONE
+    at = np.flatnonzero(gap)
+    run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+    first = at[run]
+    keep = ~gap
+    keep[first] = True
+    ends = np.zeros(len(s), dtype=bool)
+    ends[first] = np.logical_or.reduceat(stop[at], run)
+    return s[keep], ends[keep]
 
 
 def words_in(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +107,23 @@ def words_in(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, start, end - start + 1
 
 
+def sentences_in(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the sentence at each symbol, starts and lengths; the break that ends a sentence is the first symbol of the next."""
+    at = np.arange(len(ends))
+    first = np.maximum.accumulate(np.where(ends, at, 0))
+    start = np.flatnonzero((at - first) % SENTENCE == 0)
+    length = np.diff(np.append(start, len(ends)))
+    return np.repeat(np.arange(len(start), dtype=np.int32), length), start, length
+
+
+def subsequences(s: np.ndarray):
+    """For each gap pattern: how far it reaches, the subsequence at each place, weight."""
+    for a, b, w in STEPS:
+        n = len(s) - a - b
+        if n > 0:
+            yield a + b, (s[:n] * WIDTH + s[a : a + n]) * WIDTH + s[a + b :], w
+
+
 def features(s: np.ndarray, word: np.ndarray):
     """For each gap pattern: word, subsequence and weight of every place that it fits into."""
     for a, b, w in STEPS:
@@ -96,7 +138,7 @@ def dense(words: list[str]) -> np.ndarray:
     """Normalised feature vectors of single words."""
     out = np.zeros((len(words), WIDTH**3), dtype=np.float32)
     for i, w in enumerate(words):
-        s = symbols(w)
+        s, _ = symbols(w)
         word, _, _ = words_in(s)
         for _, f, weight in features(s, word):
             np.add.at(out[i], f, weight)
@@ -144,21 +186,30 @@ def unlike(words: list[str], count: int, most: float = 0.6, pool: int = 400) ->
     return [words[i] for i in out]
 
 
+def sentence_rows(parts: list[np.ndarray]) -> np.ndarray:
+    """Feature vectors of sentences, given as symbols, over the length that they have if no subsequence repeats."""
+    s = np.concatenate(parts)
+    size = np.array([len(p) for p in parts])
+    unit = np.repeat(np.arange(len(parts)), size)
+    places = [(of.astype(np.int64) * WIDTH**3 + f, np.full(len(f), w)) for of, f, w in features(s, unit)]
+    at, weight = (np.concatenate(x) for x in zip(*places, strict=True)) if places else (np.zeros(0, dtype=np.int64), np.zeros(0))
+    out = np.bincount(at, weights=weight, minlength=len(parts) * WIDTH**3).astype(np.float32)
+    return out.reshape(len(parts), -1) / distinct_norm(size)[:, None].astype(np.float32)
+
+
 class Model:
-    """Weight of each subsequence, bias, and the calibration of margins to probabilities."""
+    """Weights of subsequences in words and in sentences, biases, and the calibration of both margins to probabilities."""
 
-    def __init__(self, weights: np.ndarray | None, bias: float = 0.0, slope: float = 0.0, offset: float = -50.0):
+    def __init__(self, weights: np.ndarray | None, bias: float = 0.0, slope: float = 0.0, offset: float = -50.0, wide: np.ndarray | None = None, wide_bias: float = 0.0, wide_slope: float = 0.0):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+        self.wide, self.wide_bias, self.wide_slope = wide, wide_bias, wide_slope
 
-    def _worst(self, s: np.ndarray, owner, count: int) -> np.ndarray:
-        """The largest margin of a word, for each owner of words; owner gives that of the word at a symbol."""
-        out = np.full(count, FLOOR)
-        word, start, length = words_in(s)
-        if self.weights is None or not len(start):
-            return out
+    def _word_margins(self, s: np.ndarray, word: np.ndarray, start: np.ndarray, length: np.ndarray, held: list | None = None) -> np.ndarray:
         total = np.zeros(len(start))
-        for of, f, weight in features(s, word):
-            total += weight * np.bincount(of, weights=self.weights[f], minlength=len(start))
+        for span, f, weight in held or subsequences(s):
+            own = word[: len(f)]
+            at = np.flatnonzero((own >= 0) & (own == word[span:]))
+            total += weight * np.bincount(own[at], weights=self.weights[f[at]], minlength=len(start))
         margin = total / distinct_norm(length) + self.bias
         near = np.flatnonzero(margin > REFINE)
         if len(near):  # adding up repeats can only lower a margin above the bias, so only these matter
@@ -167,27 +218,54 @@ class Model:
             some = np.where(number[word] >= 0, word, -1)
             of, f, weight = (np.concatenate(x) for x in zip(*((number[o], f, np.full(len(f), w)) for o, f, w in features(s, some)), strict=True))
             margin[near] = total[near] / norms(of, f, weight, len(near)) + self.bias
-        np.maximum.at(out, owner(start), np.maximum(margin, FLOOR))
-        return out
-
-    def margins(self, texts: list[str]) -> np.ndarray:
+        return np.maximum(margin, FLOOR)
+
+    def _sentence_margins(self, s: np.ndarray, unit: np.ndarray, length: np.ndarray, held: list | None = None) -> np.ndarray:
+        total = np.zeros(len(length))
+        for span, f, weight in held or subsequences(s):
+            own = unit[: len(f)]
+            total += weight * np.bincount(own, weights=self.wide[f] * (own == unit[span:]), minlength=len(length))
+        return np.maximum(total / distinct_norm(length) + self.wide_bias, FLOOR)
+
+    def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The largest margins of a word and of a sentence in each text."""
+        word_out, wide_out = np.full(len(texts), FLOOR), np.full(len(texts), FLOOR)
         parts = [symbols(t) for t in texts]
-        ends = np.cumsum([len(p) for p in parts])
-        return self._worst(np.concatenate(parts), lambda start: np.searchsorted(ends, start, side="right"), len(texts)) if texts else np.zeros(0)
+        if not parts or self.weights is None:
+            return word_out, wide_out
+        s, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+        last = np.cumsum([len(p) for p, _ in parts])
+        held = list(subsequences(s))
+        word, start, length = words_in(s)
+        if len(start):
+            np.maximum.at(word_out, np.searchsorted(last, start, side="right"), self._word_margins(s, word, start, length, held))
+        if self.wide is not None:
+            unit, start, length = sentences_in(stop)
+            np.maximum.at(wide_out, np.searchsorted(last, start, side="right"), self._sentence_margins(s, unit, length, held))
+        return word_out, wide_out
 
     def of_words(self, words: list[str], block: int = 50_000) -> np.ndarray:
         out = []
         for k in range(0, len(words), block):
             s, owner = packed(words[k : k + block])
-            out.append(self._worst(s, lambda start, owner=owner: owner[start], len(words[k : k + block])))
+            word, start, length = words_in(s)
+            worst = np.full(len(words[k : k + block]), FLOOR)
+            if len(start):
+                np.maximum.at(worst, owner[start], self._word_margins(s, word, start, length))
+            out.append(worst)
         return np.concatenate(out) if out else np.zeros(0)
 
+    def of_sentences(self, parts: list[np.ndarray]) -> np.ndarray:
+        size = np.array([len(p) for p in parts])
+        return self._sentence_margins(np.concatenate(parts), np.repeat(np.arange(len(parts)), size), size)
+
     def plain(self) -> tuple:
         """What a broadcast carries: nothing that a worker would have to import."""
-        return self.weights, self.bias, self.slope, self.offset
+        return self.weights, self.bias, self.slope, self.offset, self.wide, self.wide_bias, self.wide_slope
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -50, 50)))
+        word, wide = self.margins(texts)
+        return 1 / (1 + np.exp(-np.clip(self.slope * word + self.wide_slope * wide + self.offset, -50, 50)))
 
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -212,20 +290,32 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w[:-1], float(w[-1])
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Platt's scaling with smoothed targets."""
+def calibrate(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Platt's scaling of several margins (columns) with smoothed targets: a slope for each, none negative, and the offset.
+
+    Slopes are held back a little, so that margins which say the same share what they say.
+    """
     pos, neg = weight[y > 0].sum(), weight[y <= 0].sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x, p = np.stack((margin, np.ones(len(y))), axis=1), np.array([1.0, 0.0])
-    for _ in range(100):
-        q = 1 / (1 + np.exp(-np.clip(x @ p, -40, 40)))
-        g = x.T @ (weight * (q - t)) + 1e-3 * p
-        h = (x * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        p = p - step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(p[0], 1e-3)), float(p[1])
+    k = margins.shape[1]
+    free = np.ones(k, dtype=bool)
+    while True:
+        x = np.hstack((margins[:, free], np.ones((len(y), 1))))
+        p, hold = np.append(np.ones(free.sum()), 0.0), np.append(np.full(free.sum(), 1e-2), 1e-3)
+        for _ in range(100):
+            q = 1 / (1 + np.exp(-np.clip(x @ p, -40, 40)))
+            g = x.T @ (weight * (q - t)) + hold * p
+            h = (x * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + np.diag(hold)
+            step = np.linalg.solve(h, g)
+            p = p - step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
+            if np.abs(step).max() < 1e-8:
+                break
+        if free.sum() <= 1 or (p[:-1] >= 0).all():
+            out = np.zeros(k + 1)
+            out[:-1][free] = np.maximum(p[:-1], 1e-3)
+            out[-1] = p[-1]
+            return out
+        free[np.flatnonzero(free)[np.argmin(p[:-1])]] = False
 
 
 def _bag(text: str) -> set[str]:
@@ -245,7 +335,7 @@ def train(texts: list[str], toxic: list[int], totals: tuple[int, int]) -> Model:
         mine = order[y[order] == c]
         held[mine[: len(mine) // 4 if len(mine) > 3 else 0]] = True
     vocabulary: dict[str, int] = {}
-    bags = [np.array(sorted({vocabulary.setdefault(w, len(vocabulary)) for w in _bag(texts[i])}), dtype=np.int32) for i in np.flatnonzero(~held)]
+    bags = [np.array(sorted(vocabulary.setdefault(w, len(vocabulary)) for w in sorted(_bag(texts[i]))), dtype=np.int32) for i in np.flatnonzero(~held)]
     words, of = list(vocabulary), y[~held]
     del vocabulary
     count = np.stack([np.bincount(np.concatenate([b for b, c in zip(bags, of, strict=True) if c == k]), minlength=len(words)) for k in (0, 1)])
@@ -288,14 +378,57 @@ def train(texts: list[str], toxic: list[int], totals: tuple[int, int]) -> Model:
         model = Model(basis.T @ (to_space @ w), bias)
         margin = model.of_words(clean)
         hard = list(dict.fromkeys([*hard, *(clean[i] for i in np.argsort(-margin)[: FIT_WORDS // 12] if margin[i] > -1)]))
+    learn_sentences(model, [texts[i] for i in np.flatnonzero(~held)], of, rng)
     at = held if held.any() and 0 < y[held].sum() < held.sum() else np.ones(len(y), dtype=bool)
-    margin = np.concatenate([model.margins([texts[i]]) for i in np.flatnonzero(at)])
+    margin = np.concatenate([np.stack(model.margins([texts[i]]), axis=1) for i in np.flatnonzero(at)])
     stands = np.where(y[at] > 0, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
-    model.slope, model.offset = calibrate(margin, y[at], stands / stands.mean())
-    model.weights = model.weights.astype(np.float32)
+    model.slope, model.wide_slope, model.offset = map(float, calibrate(margin, y[at], stands / stands.mean()))
+    model.weights, model.wide = model.weights.astype(np.float32), model.wide.astype(np.float32)
     return model
 
 
+def learn_sentences(model: Model, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> None:
+    """Fit the sentence machine of a model whose word machine is fitted."""
+    bags: list[list[np.ndarray]] = []
+    clean: list[np.ndarray] = []
+    worst: list[int] = []
+    for text, c in zip(texts, y, strict=True):
+        s, stop = symbols(text)
+        unit, start, length = sentences_in(stop)
+        parts = [s[a : a + n].astype(np.int32) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+        if c:
+            word, first, size = words_in(s)
+            told = np.full(len(parts), FLOOR)
+            if len(first):
+                np.maximum.at(told, unit[first], model._word_margins(s, word, first, size))
+            bags.append(parts)
+            worst.append(int(np.argmax(told)))
+        else:
+            clean += [parts[k] for k in rng.permutation(len(parts))[: max(4, 4 * FIT_SENTENCES // max(1, len(texts)))]]
+    pool = [clean[k] for k in rng.permutation(len(clean))[: 4 * FIT_SENTENCES]] or [np.zeros(1, dtype=np.int32)]
+    negative, hard = pool[:FIT_SENTENCES], []
+    flat = [p for b in bags for p in b]
+    ends = np.cumsum([len(b) for b in bags])
+    for _ in range(SENTENCE_ROUNDS):
+        positive = list({bags[k][w].tobytes(): bags[k][w] for k, w in enumerate(worst)}.values())[:FIT_SENTENCES]
+        marks = positive[: SENTENCE_LANDMARKS // 2] + (hard + negative)[: SENTENCE_LANDMARKS // 2]
+        basis = sentence_rows(marks)
+        values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+        keep = values > 1e-6 * values.max()
+        to_space = vectors[:, keep] / np.sqrt(values[keep])
+        fit = positive + negative + hard
+        z = np.concatenate([sentence_rows(fit[k : k + 256]) @ basis.T for k in range(0, len(fit), 256)]) @ to_space
+        labels = np.array([1.0] * len(positive) + [-1.0] * (len(fit) - len(positive)))
+        weight = np.ones(len(fit))
+        weight[: len(positive)] *= len(fit) / 4 / max(1, len(positive))
+        w, model.wide_bias = squared_hinge(z, labels, weight)
+        model.wide = basis.T @ (to_space @ w)
+        margin = model.of_sentences(flat)
+        worst = [int(np.argmax(margin[e - len(b) : e])) for b, e in zip(bags, ends.tolist(), strict=True)]
+        margin = model.of_sentences(pool)
+        hard = [pool[k] for k in np.argsort(-margin)[: FIT_SENTENCES // 4] if margin[k] > -1]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -312,14 +445,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     def learn(batches):
         got = [(t, c) for batch in batches for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         m = train([t for t, _ in got], [c for _, c in got], totals)
-        weights = None if m.weights is None else m.weights.astype(np.float32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.offset))], names=["weights", "bias", "slope", "offset"])
+        tables = [None if w is None else w.astype(np.float32).tobytes() for w in (m.weights, m.wide)]
+        numbers = (m.bias, m.slope, m.offset, m.wide_bias, m.wide_slope)
+        yield pa.RecordBatch.from_arrays([*(pa.array([t], pa.binary()) for t in tables), *(pa.array([float(x)]) for x in numbers)], names=["weights", "wide", "bias", "slope", "offset", "wide_bias", "wide_slope"])
 
     # one task learns from the bounded sample, so the driver only sees the weights
-    r = texts.select("text", "toxic").repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, offset double").first()
+    r = texts.select("text", "toxic").repartition(1).mapInArrow(learn, "weights binary, wide binary, bias double, slope double, offset double, wide_bias double, wide_slope double").first()
     if r is None:
         return train([], [], totals)
-    return Model(None if r.weights is None else np.frombuffer(bytes(r.weights), dtype=np.float32), r.bias, r.slope, r.offset)
+    weights, wide = (None if w is None else np.frombuffer(bytes(w), dtype=np.float32) for w in (r.weights, r.wide))
+    return Model(weights, r.bias, r.slope, r.offset, wide, r.wide_bias, r.wide_slope)
 
 
 def score(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> DataFrame:
