@@ -12,7 +12,7 @@ from graphloom.functions.text import CJK, clean_label, letter_ratio, strip
 # What marks a label as front matter, and the terms that are never noise.
 COMMON = [
     r"^第\s*\d*\s*版(\s*\d+)?$", r"^版权所有", r"^侵权必究", r"^编委", r"^主编", r"^副主编", r"^数字编委", r"^主审", r"^编写秘书",
-    r"^序言$", r"^前言$", r"^目录$", r"^新形态教材", r"^读者信息反馈", r"^修订说明", r"^规划教材修订", r"^全国高等学校", r"^简介$", r"^简介",
+    r"^序言$", r"^前言$", r"^目录$", r"^新形态教材", r"^读者信息反馈", r"^修订说明", r"^规划教材修订", r"^全国高等学校", r"^简介",
     r"^图书在版编目", r"^CIP数据", r"^ISBN", r"^标准书号", r"^定价", r"^印张", r"^字数", r"^开本", r"^\d+$", r"^[\.\s·…]+$",
     r"^推荐阅读", r"^参考文献", r"^Page\s+\d+$", r"^\d+_\w+$", r"^第\s*[一二三四五六七八九十]+\s*章\s*$", r"^第\s*[一二三四五六七八九十]+\s*节\s*$",
 ]
@@ -30,6 +30,8 @@ SHORT_TERMS = (
     "心脏", "肺", "肝", "肾", "胃", "肠", "脑", "皮肤", "血液", "神经", "动脉", "静脉", "淋巴", "骨骼", "肌肉", "关节", "细胞", "组织",
     "免疫", "炎症", "肿瘤", "感染", "代谢", "激素", "基因", "蛋白", "心电图",
 )
+#: The terms that the filters without hints spare.
+ORGANS = tuple(t for t in SHORT_TERMS if t != "心电图")
 HINTS = ("调节", "组织", "细胞", "上皮", "神经", "血管", "心电", "心律", "代谢", "反射", "分泌", "激素", "免疫", "炎症", "病理", "生理", "胚胎", "器官")
 GENERIC = (
     "从而", "一种", "系统的", "主要", "因此", "以及", "及其", "此外", "例如", "包括", "由于", "通过", "进行", "可以", "为了", "具有", "有关", "相关", "临床", "疾病",
@@ -59,7 +61,7 @@ class Noise:
             noise = noise | ((n < 5) & (ratio * n < 3)) | ((ratio < 0.5) & (n < 10))
         if self.names:
             plain = F.translate(t, " 　", "")
-            spared = plain.isin(*SHORT_TERMS[:26])
+            spared = plain.isin(*ORGANS)
             if self.hints:
                 spared = plain.isin(*SHORT_TERMS) | plain.rlike("|".join(self.hints))
             noise = noise | (plain.rlike(f"^[{CJK}]{{2,4}}$") & ~spared)

@@ -29,14 +29,17 @@ def clean_text_script(c: Column) -> Column:
     return strip(F.regexp_replace(F.translate(c, "\x08�", ""), r"\.{4,}", "..."))
 
 
+# What is taken off a label, in this order.
+LABEL_STEPS = (
+    (r"(?U)^#+\s*", ""), (r"(?U)\.{3,}\s*\d*\s*$", ""), (r"(?U)[_\s]+", " "),
+    (r"(?U)^[一二三四五六七八九十]+[、.．]\s*", ""), (r"(?U)^[(（][一二三四五六七八九十\d]+[)）]\s*", ""),
+)
+
+
 def clean_label(c: Column) -> Column:
     """A heading or path part as a label: without comments, marks, dot leaders, underscores and numbering."""
     c = strip(F.regexp_replace(c, r"<!--.*?-->", ""))
-    steps = (
-        (r"(?U)^#+\s*", ""), (r"(?U)\.{3,}\s*\d*\s*$", ""), (r"(?U)[_\s]+", " "),
-        (r"(?U)^[一二三四五六七八九十]+[、.．]\s*", ""), (r"(?U)^[(（][一二三四五六七八九十\d]+[)）]\s*", ""),
-    )
-    for pattern, to in steps:
+    for pattern, to in LABEL_STEPS:
         c = F.regexp_replace(c, pattern, to)
     return F.btrim(c, F.lit(" \t\r\n-—|:：，,。；;"))
 

@@ -36,10 +36,19 @@ def invalid_reason(subject: Column, relation: Column, object_: Column, evidence:
     )
 
 
-def edges(triples: DataFrame, policy: str = "first", by: tuple[str, ...] = ("book_id",)) -> DataFrame:
-    """One edge per pair: attributes of its first or last triple, greatest confidence (first) or the last's, evidence in order."""
+def edges(triples: DataFrame, policy: str = "first", by: tuple[str, ...] = ("book_id",), most: int | None = None) -> DataFrame:
+    """One edge per pair: attributes of its first or last triple, greatest confidence (first) or the last's, evidence in order.
+
+    most bounds the evidence that an edge carries to its first triples, where a pair may have more than fits a row; `triples`
+    counts all of them.  Without a use of the evidence none is gathered.
+    """
     if policy not in ("first", "last"):
         raise ValueError(f"edge policy {policy}")
+    if policy == "first" and most is not None:
+        pair = [*by, "subject", "object"]
+        early = triples.withColumn("__k", F.row_number().over(Window.partitionBy(*pair).orderBy("seq"))).where(F.col("__k") <= most)
+        told = edges(early.drop("__k"), policy, by).select(*by, "source", "target", "evidence")
+        return edges(triples, policy, by).drop("evidence").join(told, [*by, "source", "target"]).select(*by, "source", "target", "relation", "confidence", "evidence", "triples")
     pick = F.min_by if policy == "first" else F.max_by
     confidence = F.max("confidence") if policy == "first" else F.max_by("confidence", "seq")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x.evidence)
@@ -104,10 +113,9 @@ def clustering(edges_: DataFrame) -> DataFrame:
 
 def pagerank(edges_: DataFrame, rounds: int, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """id, rank after so many rounds, or sooner once the change is below nodes * tolerance; dangling mass is spread evenly."""
-    pairs = edges_.select("source", "target").distinct()
+    pairs = cut(edges_.select("source", "target").distinct())  # each round reads it again
     out = pairs.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out"))
-    pairs = pairs.persist()
-    every = pairs.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(out, "id", "left").persist()
+    every = cut(pairs.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(out, "id", "left"))
     n = every.count()
     if not n:
         return every.select("id", F.lit(0.0).alias("rank"))
@@ -202,7 +210,8 @@ def readable_subgraph(nodes_: DataFrame, edges_: DataFrame, seeds: int = 36, nei
     d = degree(edges_).join(nodes_, "id").withColumn("degree", F.col("degree").cast("long"))
     adjacent = edges_.select(F.col("source").alias("id"), F.col("target").alias("to"), "pos").unionByName(edges_.select(F.col("target").alias("id"), F.col("source").alias("to"), "pos"))
     by = Window.partitionBy("id").orderBy(F.desc("degree"), "epos")
-    near = adjacent.withColumnRenamed("pos", "epos").join(d.select(F.col("id").alias("to"), "degree"), "to").withColumn("k", F.row_number().over(by)).where(F.col("k") <= neighbours).select("id", "to", "k").persist()
+    near = adjacent.withColumnRenamed("pos", "epos").join(d.select(F.col("id").alias("to"), "degree"), "to").withColumn("k", F.row_number().over(by)).where(F.col("k") <= neighbours).select("id", "to", "k")
+    near = cut(near)
     level = d.orderBy(F.desc("degree"), "pos").limit(seeds).select("id", F.row_number().over(Window.orderBy(F.desc("degree"), "pos")).alias("rank"))
     seen, total = level, seeds
     while total < most:

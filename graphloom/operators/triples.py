@@ -13,7 +13,7 @@ from graphloom.functions.text import clean_label, lines, sentences
 from graphloom.operators.acyclic import accept_acyclic
 from graphloom.operators.graph import dedup_triples
 
-# Words that mark a sentence as an application, and the topics sought in its absence.
+# Words that mark a sentence as an application, the topics sought in its absence, and the forms that such sentences have.
 APPLICATION_HINTS = ("用于", "有助于", "有利于", "诊断", "治疗", "防治", "预防", "评估", "临床", "疾病", "病理", "综合征", "异常", "病例", "检查", "药物", "靶点", "手术")
 TOPICS = ("诊断", "治疗", "防治", "预防", "评估", "疾病", "病理", "异常", "临床")
 SUBJECT, OBJECT = r"([\x{4e00}-\x{9fa5}A-Za-z0-9α-ωΑ-Ωβγδμ\-]{2,18})", "([^。；;，,]{2,32})"

@@ -81,7 +81,7 @@ def _noise(f: N.Noise, c: str) -> str:
         parts += [f"({n} < 5 AND {LETTERS.format(c)} < 3)", f"({ratio} < 0.5 AND {n} < 10)"]
     if f.names:
         plain = f"replace(replace({c}, ' ', ''), '　', '')"
-        spared = f"({plain} IN {_in(N.SHORT_TERMS)} OR regexp_matches({plain}, '{'|'.join(f.hints)}'))" if f.hints else f"{plain} IN {_in(N.SHORT_TERMS[:26])}"
+        spared = f"({plain} IN {_in(N.SHORT_TERMS)} OR regexp_matches({plain}, '{'|'.join(f.hints)}'))" if f.hints else f"{plain} IN {_in(N.ORGANS)}"
         parts.append(f"(regexp_full_match({plain}, '[\\x{{4e00}}-\\x{{9fff}}]{{2,4}}') AND NOT {spared})")
     out = "(" + " OR ".join(parts) + ")"
     return f"({c} NOT IN {_in(f.always)} AND {out})" if f.always else out

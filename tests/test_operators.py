@@ -309,3 +309,10 @@ def test_semantic_candidates_over_chunks(spark):
     hits = spark.createDataFrame([("a", "node", 1, 0.9, "alpha beta"), ("a", "node", 2, 0.88, "alpha beta gamma"), ("a", "node", 3, 0.75, "delta"), ("a", "node", 4, 0.72, "delta gamma")], "book_id string, label string, chunk_id long, score double, content string")
     labels = spark.createDataFrame([("b", "alpha"), ("b", "beta"), ("c", "delta"), ("d", "gamma")], "book_id string, label string")
     assert {(r.chunk_id, r.b2, r.l2) for r in merge.semantic_candidates(hits, labels).collect()} == {(1, "b", "alpha"), (2, "b", "beta"), (3, "c", "delta")}
+
+
+def test_bounded_evidence(spark):
+    rows = [("b", "x", "parallel", "y", 0.1 * i, f"e{i}", i) for i in range(5)] + [("b", "x", "containment", "z", 0.5, "only", 9)]
+    t = spark.createDataFrame(rows, "book_id string, subject string, relation string, object string, confidence double, evidence string, seq int")
+    got = {r.target: (r.evidence, r.triples, r.confidence) for r in graph.edges(t, most=2).collect()}
+    assert got == {"y": (["e0", "e1"], 5, 0.4), "z": (["only"], 1, 0.5)}
