@@ -9,7 +9,7 @@ from graphloom.functions import noise as N
 from graphloom.functions import text as T
 from graphloom.operators import acyclic, engine, essence, export, feedback, graph, merge, retrieval, sections, triples
 from graphloom.operators.models import offline
-from graphloom.operators.state import scratch
+from graphloom.operators.state import cut, scratch
 from graphloom.plans import fixtures as X
 from graphloom.plans.fixtures import table
 from graphloom.sources import readers, writers
@@ -468,7 +468,7 @@ def semantic_candidates(spark, d):
 
 def decisions(spark, d):
     t = X.triples_a(spark, d)
-    e = graph.edges(t)
+    e = cut(graph.edges(t).drop("evidence"))  # read three times
     exact = merge.exact_matches(merge.book_nodes(t)).select(F.array("label").alias("nodes"), "books", "confidence")
     against = merge.conflicts(e).select(F.array("source", "target").alias("nodes"), F.array_sort(F.array_distinct("books")).alias("books"), "confidence")
     more = merge.complements(e).select(F.array("source").alias("nodes"), F.array("book_id", "other").alias("books"), "confidence")
