@@ -10,9 +10,10 @@ suffixes are compared by the length of their common extension, found by binary s
 neighbours that agree over WINDOW bytes are repeats, after their bytes have been compared.  So a collision of polynomial
 hashes cannot remove anything.
 
-Anchors with more than HOT distinct contexts are split by stretches of STRETCH starts and the core that all windows of a
-stretch share, so no task gets a whole hot anchor.  Documents cross the network packed, joined once for contexts and once
-for the result.
+Contexts of anchors with more than HOT distinct ones are cut down to single windows, named by 128-bit digests: windows of one
+name settle each other as contexts do, counted in each task before anything is shuffled.  So a group of the sort has at most HOT
+contexts, and a passage with any number of copies burdens no task.  Documents cross the network packed, joined once for contexts and once for
+the result.
 
 Defined results: a null text is empty; texts under WINDOW bytes keep all; equal rows are copies of each other; rows of one id
 with other texts are told apart; null ids are kept; an empty table gives no rows.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import dropped, join_counted, written
 
 WINDOW, GRAM = 200, 32
-HOT, STRETCH = 4096, 21
+#: Distinct contexts of an anchor that are sorted together.
+HOT = 4096
 #: Bytes of text that are hashed at once, and bytes of contexts that are sorted at once.
 BLOCK, SORT_BLOCK = 1_000_000, 400_000
 BASE = 0xD1342543DE82EF95
@@ -259,33 +261,37 @@ def _unpack(packed: bytes) -> bytes:
 
 
 CONTEXT = ROW | {"group": pa.int64(), "first": pa.int32(), "place": pa.int32(), "low": pa.int32(), "high": pa.int32(), "need": pa.bool_(), "text": pa.binary()}
+PIECE = CONTEXT | {"name": pa.binary()}
+PIECES = "id long, body long, `group` long, first int, place int, low int, high int, need boolean, text binary, name binary"
 
 
-def _contexts(batches):
-    """Packed documents with their anchors -> contexts by anchor; hot anchors' by stretch and core."""
-    for batch in batches:
-        rows: dict[str, list] = {k: [] for k in CONTEXT}
+def _pieces(salt: bytes, hot: int):
+    """Packed documents with their anchors -> contexts by anchor; of hot anchors single windows by name, without their bytes."""
 
-        def add(*values, rows=rows):
-            for k, v in zip(CONTEXT, values, strict=True):
-                rows[k].append(v)
+    def run(batches):
+        digest = hashlib.blake2b
+        for batch in batches:
+            rows: list[tuple] = []
+            t = batch.to_pydict()
+            for i, body, packed, places in zip(t["id"], t["body"], t["packed"], t["places"], strict=True):
+                text = _unpack(packed)
+                for a in places:
+                    first, until, place, need = a["first"], a["until"], a["place"], a["need"]
+                    if a["kinds"] <= hot:
+                        least = place - (until - first)  # the anchor's distance from the last start
+                        rows.append((i, body, a["key"], first, place, least, place, need, text[first : until + WINDOW], None))
+                    else:
+                        rows += [(i, body, None, k, None, None, None, need, None, digest(text[k : k + WINDOW], digest_size=16, salt=salt).digest()) for k in range(first, until + 1)]
+            yield _batch({k: [r[c] for r in rows] for c, k in enumerate(PIECE)}, PIECE)
 
-        t = batch.to_pydict()
-        for i, body, packed, places in zip(t["id"], t["body"], t["packed"], t["places"], strict=True):
-            text = _unpack(packed)
-            for a in places:
-                first, place, context = a["first"], a["place"], text[a["first"] : a["until"] + WINDOW]
-                least = place - (a["until"] - first)  # the anchor's distance from the last start
-                if a["kinds"] <= HOT:
-                    add(i, body, a["key"], first, place, least, place, a["need"], context)
-                    continue
-                for r in range(least // STRETCH, place // STRETCH + 1):
-                    low, high = r * STRETCH, r * STRETCH + STRETCH - 1
-                    core = context[place - low : place - high + WINDOW]
-                    group = hashlib.blake2b(b"%d %d " % (a["key"], r) + core, digest_size=8).digest()
-                    low, high = max(low, least), min(high, place)
-                    add(i, body, int.from_bytes(group, "little", signed=True), first + place - high, high, low, high, a["need"], context[place - high : place - low + WINDOW])
-        yield _batch(rows, CONTEXT)
+    return run
+
+
+def _named_ranges(windows: DataFrame) -> DataFrame:
+    """Starts of windows(id, body, first, need, name) whose name occurs again; a window of a context with copies counts twice, as it stands for all."""
+    often = windows.groupBy("name").agg(F.sum(F.when(F.col("need"), 1).otherwise(2)).alias("n")).where("n > 1")
+    hit = join_counted(windows.where("need"), often, ["name"], "n", windows.count())
+    return hit.select("id", "body", "first", F.col("first").alias("last"))
 
 
 RANGE = ROW | {"first": pa.int32(), "last": pa.int32()}
@@ -353,7 +359,7 @@ def _cut(batches):
         yield _batch(out, RESULT)
 
 
-def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (byte offsets of what goes), kept (the remaining bytes) of every row."""
     t = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(t).alias("body"), t.alias("t"))
@@ -369,14 +375,18 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     joined = join_counted(found, kinds, ["key", "context"], "rows", total)
     settled = joined.where("copies > 1").select("id", "body", "first", "last")
     open_ = joined.where((F.col("kinds") > 1) & ((F.col("copies") == 1) | (one == F.col("one"))))
-    places = open_.groupBy("id", "body").agg(F.collect_list(F.struct("key", "first", "until", "place", "kinds", (F.col("copies") == 1).alias("need"))).alias("places"))
     packed = rows.mapInArrow(_pack, "id long, body long, packed binary")
+
+    places = open_.groupBy("id", "body").agg(F.collect_list(F.struct("key", "first", "until", "place", "kinds", (F.col("copies") == 1).alias("need"))).alias("places"))
     # equal rows settle each other, so one of them stands for all here
-    sources = packed.join(places, ["id", "body"]).dropDuplicates(["id", "body"])
-    contexts = sources.select("id", "body", "packed", "places").mapInArrow(_contexts, "id long, body long, `group` long, first int, place int, low int, high int, need boolean, text binary")
-    sorted_ = contexts.repartition("group").sortWithinPartitions("group")
+    sources = packed.join(places, ["id", "body"]).dropDuplicates(["id", "body"]).select("id", "body", "packed", "places")
+    pieces = written(sources.mapInArrow(_pieces(secrets.token_bytes(16), hot), PIECES), "pieces")
+    sorted_ = pieces.where("name is null").drop("name").repartition("group").sortWithinPartitions("group")
     rims = sorted_.mapInArrow(_ranges, "id long, body long, first int, last int")
-    ranges = settled.unionByName(rims).groupBy("id", "body").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    windows = _named_ranges(pieces.where("name is not null").select("id", "body", "first", "need", "name"))
+    every = settled.unionByName(rims).unionByName(windows)
+    ranges = written(every.groupBy("id", "body").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    dropped(found, kinds, pieces)
     whole = packed.join(ranges, ["id", "body"], "left")
     result = whole.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "packed", "ranges")
     return result.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")

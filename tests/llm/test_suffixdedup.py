@@ -37,10 +37,10 @@ def corpus(seed):
     return out
 
 
-def check(spark, texts):
+def check(spark, texts, **how):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(4)
     want = slow([(t or "").encode() for t in texts])
-    for r in S.remove_repeats(docs).collect():
+    for r in S.remove_repeats(docs, **how).collect():
         t = (texts[r.doc_id] or "").encode()
         assert [tuple(s) for s in r.spans] == want[r.doc_id]
         assert r.n_bytes == len(t) and r.n_removed == sum(b - a for a, b in want[r.doc_id])
@@ -55,9 +55,9 @@ def test_matches_brute_force(spark):
     check(spark, [*corpus(1), None])
 
 
-def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT", 2)
-    check(spark, corpus(2))
+def test_hot_anchors_are_split_without_loss(spark):
+    for hot in (0, 2):
+        check(spark, [*corpus(2), None], hot=hot)
 
 
 def test_sort_and_collisions(monkeypatch):
