@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,65 @@ def test_pipeline(spark, tmp_path):
     got = pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in got} == set(cut) and sum(r.length for r in got) <= sum(len(r.text or "") for r in cut.values())
     assert len(pipeline.STAGES) == 5
+
+
+def cut_by_brute_force(text, bench):
+    """The text without what lies between the first and the last word of each run of words that a benchmark window covers."""
+    from test_decontaminate import words
+
+    windows = {tuple(w[i : i + 10]) for b in bench for w in [words(b)] for i in range(max(len(w) - 9, 1) if w else 0)}
+    at = [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or "")]
+    w, hit = words(text), set()
+    assert len(w) == len(at)
+    for i in range(len(w)):
+        for n in {len(x) for x in windows}:
+            if tuple(w[i : i + n]) in windows and i + n <= len(w):
+                hit |= set(range(i, i + n))
+    for i in sorted(hit, reverse=True):
+        a, b = at[i]
+        text = text[:a] + text[at[i + 1][0] if i + 1 in hit else b :]
+    return text
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage after the model's, one by one in Python, against the rows of run()."""
+    from test_linededup import slow as without_repeated_lines
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice(["ba", "lo", "ti", "re", "mu", "é", "漢"]) for _ in range(3)) + str(rng.randrange(90))
+    text = lambda n: " ".join(word() for _ in range(n))
+    bench, pool = [text(30), text(12), text(5)], [text(8) for _ in range(6)]
+    rows: list[tuple[int, str]] = []
+    for i in range(90):
+        t = "\n".join([text(rng.randrange(20, 60))] + [rng.choice(pool) for _ in range(rng.randrange(3))] + [text(rng.randrange(5, 30))])
+        if rng.random() < 0.3:
+            b = rng.choice(bench)
+            t += " " + b.upper() + rng.choice([", ", " "]) + rng.choice(bench) + " " + text(6)
+        if rng.random() < 0.2:
+            t = text(20) + " grumbax " + t
+        if rows and rng.random() < 0.25:
+            w = rng.choice(rows)[1].split(" ")
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = "edit"
+            t = " ".join(w)
+        rows.append((i * 7 % 90, t))
+    rows += [(200, None), (201, ""), (202, text(2500))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int("grumbax" in (t or ""))) for i, t in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf = str(tmp_path)
+    clean = {r.doc_id for r in stages.toxicity(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    left = [(i, t) for i, t in rows if i in clean]
+    lines = without_repeated_lines(left)
+    left = [(i, lines[i][2]) for i, _ in left]
+    root = groups([t for _, t in left])
+    least: dict[int, int] = {}
+    for (i, _), r in zip(left, root):
+        least[r] = min(least.get(r, i), i)
+    left = [(i, cut_by_brute_force(t, bench)) for (i, t), r in zip(left, root) if least[r] == i]
+    want = sorted((i, k, k * 8192, min(8192, len(t) - k * 8192)) for i, t in left for k in range(max(1, -(-len(t) // 8192))))
+    got = pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in got) == want
+    assert len(clean) < len(rows) and len(left) < len(clean) - 5 and any(n > 1 for n in map([i for i, *_ in want].count, {i for i, *_ in want}))
