@@ -225,7 +225,7 @@ class Model:
         for span, f, weight in held or subsequences(s):
             own = unit[: len(f)]
             total += weight * np.bincount(own, weights=self.wide[f] * (own == unit[span:]), minlength=len(length))
-        return np.maximum(total / distinct_norm(length) + self.wide_bias, FLOOR)
+        return np.where(length > 2, np.maximum(total / distinct_norm(length) + self.wide_bias, FLOOR), FLOOR)  # two symbols have no subsequence
 
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The largest margins of a word and of a sentence in each text."""
@@ -404,6 +404,7 @@ def learn_sentences(model: Model, texts: list[str], y: np.ndarray, rng: np.rando
             bags.append(parts)
             worst.append(int(np.argmax(told)))
         else:
+            parts = [p for p in parts if len(p) > 2]
             clean += [parts[k] for k in rng.permutation(len(parts))[: max(4, 4 * FIT_SENTENCES // max(1, len(texts)))]]
     pool = [clean[k] for k in rng.permutation(len(clean))[: 4 * FIT_SENTENCES]] or [np.zeros(1, dtype=np.int32)]
     negative, hard = pool[:FIT_SENTENCES], []

@@ -82,7 +82,8 @@ def slow_sentence_margin(model, text):
                 for i in range(len(p) - a - b):
                     total += T.DECAY ** (a + b) * model.wide[(p[i] * 32 + p[i + a]) * 32 + p[i + a + b]]
                     norm += T.DECAY ** (2 * (a + b))
-        best = max(best, total / max(norm, 1e-18) ** 0.5 + model.wide_bias)
+        if len(p) > 2:
+            best = max(best, total / norm**0.5 + model.wide_bias)
     return best
 
 
