@@ -70,13 +70,17 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, deal: bool = False) -> DataFrame:
     """Inner join of many rows with one row per key that knows how many rows its key has.
 
-    Keys with more than HOT_SHARE of all rows number at most 1 / HOT_SHARE, so they are broadcast; no other key can
-    make a partition large, so they are joined by a shuffle.
+    Keys with more than HOT_SHARE of all rows number at most 1 / HOT_SHARE, so they are broadcast, and their rows are not
+    shuffled; no other key can make a partition large, so they are joined by a shuffle.  deal spreads the rows of hot keys
+    evenly, where what follows in the same task is dear.
     """
     bar = max(1000, int(total * HOT_SHARE))
     hot = F.broadcast(keyed.where(F.col(count) > bar).limit(int(1 / HOT_SHARE) + 1))
-    cold = keyed.where(F.col(count) <= bar)
-    return rows.join(cold, keys).unionByName(rows.join(hot, keys))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(count) <= bar), keys)
+    spread = rows.join(hot, keys)
+    if deal:
+        spread = spread.repartition(shuffle_partitions(rows.sparkSession))
+    return cold.unionByName(spread)

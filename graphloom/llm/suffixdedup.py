@@ -372,7 +372,7 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", hot: int = HOT
     kinds = found.groupBy("key", "context").agg(F.sum("n").alias("copies"), F.count("*").alias("rows"), F.min(one).alias("one"))
     spread = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
     kinds = written(join_counted(kinds, spread, ["key"], "kinds", total), "contexts")
-    joined = join_counted(found, kinds, ["key", "context"], "rows", total)
+    joined = join_counted(found, kinds, ["key", "context"], "rows", total, deal=True)
     settled = joined.where("copies > 1").select("id", "body", "first", "last")
     open_ = joined.where((F.col("kinds") > 1) & ((F.col("copies") == 1) | (one == F.col("one"))))
     packed = rows.mapInArrow(_pack, "id long, body long, packed binary")
