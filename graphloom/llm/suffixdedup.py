@@ -36,7 +36,7 @@ WINDOW, GRAM = 200, 32
 #: Distinct contexts of an anchor that are sorted together.
 HOT = 4096
 #: Bytes of text that are hashed at once, and bytes of contexts that are sorted at once.
-BLOCK, SORT_BLOCK = 1_000_000, 400_000
+BLOCK, SORT_BLOCK = 500_000, 300_000
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 ONE = np.uint64(1)
