@@ -17,6 +17,22 @@ READ = {"md": lambda b: b.decode("utf-8", "replace"), "pdf": office.pdf_markdown
 TRIPLE = "subject string, relation string, object string, evidence string, source_path string, book_id string, chapter string, section string, confidence double, extractor string, metadata map<string,string>"
 
 
+#: What opening a file counts as, in bytes, when files are dealt into tasks, and into how many tasks folders are listed.
+OPEN_COST, LISTED_BY = "65536", "64"
+
+
+def _dealt(spark: SparkSession, read) -> DataFrame:
+    """read(session) in a session whose tasks take many small files each; what it returns goes on in the caller's session.
+
+    By Spark's own count a file costs 4 MB, so that three or four of them are a task.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTED_BY)
+    found = read(own)
+    return spark.createDataFrame([], found.schema).unionByName(found)
+
+
 def _extension(path):
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -48,7 +64,7 @@ def load_markdown(spark: SparkSession, *paths: str, every: bool = False) -> Data
 
 def chunks(spark: SparkSession, path: str, least: int = 20) -> DataFrame:
     """book_id, chunk_name, path, content of markdown files with more than so many characters."""
-    t = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    t = _dealt(spark, lambda s: s.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
     t = t.where(_extension(F.col("path")).isin("md", "markdown") & (F.length(strip(F.col("content"))) > least))
     return t.select(F.element_at(F.split("path", "/"), -2).alias("book_id"), stem(F.col("path")).alias("chunk_name"), "path", "content")
 

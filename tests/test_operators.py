@@ -316,3 +316,20 @@ def test_bounded_evidence(spark):
     t = spark.createDataFrame(rows, "book_id string, subject string, relation string, object string, confidence double, evidence string, seq int")
     got = {r.target: (r.evidence, r.triples, r.confidence) for r in graph.edges(t, most=2).collect()}
     assert got == {"y": (["e0", "e1"], 5, 0.4), "z": (["only"], 1, 0.5)}
+
+
+def test_many_small_files(spark, tmp_path):
+    odd = ["a b", "p=q", "100%", "书"]
+    rows = [(f"b{i}", 0, f"text {i} of more than twenty characters") for i in range(400)] + [(x, 0, f"text of {x}, of more than twenty characters") for x in odd] + [("none", 0, None)]
+    made = spark.createDataFrame(rows, "book_id string, index int, markdown string")
+    at = tmp_path / "files"
+    writers.write_markdown_files(made, f"file://{at}")
+    assert sorted(str(p.relative_to(at)) for p in at.rglob("*") if p.is_file()) == sorted(f"{b}/{b}.md" for b, _, _ in rows)
+    assert (at / "none/none.md").read_bytes() == b"\n" and (at / "书/书.md").read_text() == "text of 书, of more than twenty characters\n"
+    got = readers.chunks(spark, f"file://{at}")
+    assert {r.content for r in got.collect()} == {t + "\n" for _, _, t in rows if t}
+    assert got.rdd.getNumPartitions() <= 8  # 400 files of 4 MB by Spark's count would be 13 tasks
+    writers.write_markdown_files(made.withColumn("markdown", F.lit("a text that is written over the one before")), f"file://{at}")
+    assert {r.content for r in readers.chunks(spark, f"file://{at}").collect()} == {"a text that is written over the one before\n"}
+    writers._write_moved(made.limit(3).select(F.col("book_id").alias("folder"), F.col("book_id").alias("name"), F.col("markdown").alias("value")), f"file://{tmp_path}/moved", ".md")
+    assert {r.content for r in readers.chunks(spark, f"file://{tmp_path}/moved").collect()} == {rows[i][2] + "\n" for i in range(3)}
