@@ -42,7 +42,7 @@ def files(spark: SparkSession, *paths: str, every: bool = False) -> DataFrame:
 
     every: files of other kinds are an error instead of being passed over.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    f = _dealt(spark, lambda s: s.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)))
     kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), _extension(F.col("path")))
     f = f.select("path", kind.alias("source_type"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"), "content")
     if every:

@@ -333,3 +333,12 @@ def test_many_small_files(spark, tmp_path):
     assert {r.content for r in readers.chunks(spark, f"file://{at}").collect()} == {"a text that is written over the one before\n"}
     writers._write_moved(made.limit(3).select(F.col("book_id").alias("folder"), F.col("book_id").alias("name"), F.col("markdown").alias("value")), f"file://{tmp_path}/moved", ".md")
     assert {r.content for r in readers.chunks(spark, f"file://{tmp_path}/moved").collect()} == {rows[i][2] + "\n" for i in range(3)}
+
+
+def test_many_small_files_by_the_router(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"b{i}").mkdir()
+        (tmp_path / f"b{i}/b{i}.md").write_text(f"# Book {i}")
+    got = readers.load_markdown(spark, str(tmp_path))
+    assert {(r.book_id, r.source_type, r.markdown) for r in got.collect()} == {(f"b{i}", "md", f"# Book {i}") for i in range(400)}
+    assert got.rdd.getNumPartitions() <= 8  # 400 files of 4 MB by Spark's count would be 13 tasks
