@@ -159,17 +159,40 @@ def centrality(edges_: DataFrame, rounds: int = 200, tolerance: float | None = 1
 
 
 def cycles(edges_: DataFrame, longest: int = 4) -> DataFrame:
-    """nodes: simple cycles of up to `longest` edges, each once, from its least node."""
-    pairs = edges_.select("source", "target").distinct()
-    path = pairs.select(F.col("source").alias("start"), F.array("source").alias("nodes"), F.col("target").alias("at")).where("at >= start")
-    found = path.where("at = start").select("nodes")
-    path = path.where("at > start")
-    back = pairs.select(F.col("source").alias("at"), F.col("target").alias("start"))
+    """nodes: simple cycles of up to `longest` edges, each once, from its least node.
+
+    A cycle is found from its greatest node, hubs being greater than other nodes: paths out of it and into it, of half the
+    length and through smaller nodes only, meet.  So no path leads through a hub from all of its neighbours to all others.
+    """
+    pairs = edges_.select("source", "target").where("source is not null and target is not null").repartition("source").distinct()  # joined by source below
+    ranked = pairs.withColumns({"from": F.lit(0), "to": F.lit(0)})
+    if longest > 2:
+        d = degree(pairs)
+        ends = d.agg(F.sum("degree").cast("double").alias("ends"))
+        hubs = d.crossJoin(F.broadcast(ends)).where("cast(degree as double) * degree > ends").select("id", F.col("degree").alias("rank"))  # fewer than the root of all ends
+        of = lambda end, to: F.broadcast(hubs.select(F.col("id").alias(end), F.col("rank").alias(to)))
+        ranked = pairs.join(of("source", "from"), "source", "left").join(of("target", "to"), "target", "left").fillna(0, ["from", "to"])
+    source, target = F.struct("from", "source"), F.struct("to", "target")
+    out = ranked.where(target < source).select(F.col("source").alias("start"), F.col("from").alias("rank"), F.col("target").alias("f1"))
+    into = ranked.where(source < target).select(F.col("target").alias("start"), F.col("to").alias("rank"), F.col("source").alias("b1"))
+    found = pairs.where("source = target").select(F.array("source").alias("nodes"))
+    below = F.struct("to", "next") < F.struct("rank", "start")
     for k in range(2, longest + 1):
-        found = found.unionByName(path.join(back, ["at", "start"]).select(F.array_append("nodes", F.col("at")).alias("nodes")))
-        if k < longest:  # paths are extended only as far as they may still close
-            step = path.join(pairs, path.at == pairs.source).select("start", F.array_append("nodes", F.col("at")).alias("nodes"), F.col("target").alias("at"))
-            path = step.where((F.col("at") > F.col("start")) & ~F.array_contains("nodes", F.col("at")))
+        i, j = (k + 1) // 2, k // 2
+        f, b = [f"f{n}" for n in range(1, i + 1)], [f"b{n}" for n in range(1, j + 1)]
+        if k % 2:  # one edge more on the way out
+            step = ranked.select(F.col("source").alias("at"), F.col("target").alias("next"), "to")
+            out = out.join(step, F.col(f[-2]) == F.col("at")).where(below & ~F.col("next").isin(*map(F.col, f[:-1]))).select("start", "rank", *f[:-1], F.col("next").alias(f[-1]))
+        elif k > 2:  # and on the way back
+            step = ranked.select(F.col("target").alias("at"), F.col("source").alias("next"), F.col("from").alias("to"))
+            into = into.join(step, F.col(b[-2]) == F.col("at")).where(below & ~F.col("next").isin(*map(F.col, b[:-1]))).select("start", "rank", *b[:-1], F.col("next").alias(b[-1]))
+        met = out.drop("rank").join(into.drop("rank").withColumnRenamed(b[-1], f[-1]), ["start", f[-1]])
+        for x in f[:-1]:
+            for y in b[:-1]:
+                met = met.where(F.col(x) != F.col(y))
+        nodes = F.array("start", *f, *reversed(b[:-1]))
+        least = F.array_position(nodes, F.array_min(nodes)).cast("int")
+        found = found.unionByName(met.select(F.concat(F.slice(nodes, least, F.lit(k)), F.slice(nodes, F.lit(1), least - 1)).alias("nodes")))
     return found
 
 

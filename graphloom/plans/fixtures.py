@@ -40,7 +40,7 @@ a AS (
 )"""
 
 
-def edges_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges_b(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
     """A graph with triangles, cycles and self-loops: customers, their suppliers, and the nations of both."""
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
     c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
@@ -49,7 +49,8 @@ def edges_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = pair(l.join(o, F.col("l_orderkey") == F.col("o_orderkey")), name("C", "o_custkey"), name("S", "l_suppkey"))
     lives = pair(c, name("C", "c_custkey"), name("N", "c_nationkey")).unionByName(pair(s, name("S", "s_suppkey"), name("N", "s_nationkey")))
     around = pair(n, name("N", "n_nationkey"), name("N", F.col("n_nationkey") * F.col("n_nationkey") % 25)).unionByName(pair(c, name("N", F.col("c_custkey") % 25), name("C", "c_custkey")))
-    return bought.unionByName(lives).unionByName(around).distinct()
+    every = bought.unionByName(lives).unionByName(around)
+    return every.distinct() if distinct else every
 
 
 EDGES_B = """

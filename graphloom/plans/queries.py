@@ -400,12 +400,12 @@ def centrality_tiers(spark, d):
 
 @query
 def bounded_cycles(spark, d):
-    return graph.cycles(X.edges_b(spark, d), 3).groupBy(F.size("nodes").alias("length")).agg(F.count("*").alias("n"))
+    return graph.cycles(X.edges_b(spark, d, distinct=False), 3).groupBy(F.size("nodes").alias("length")).agg(F.count("*").alias("n"))
 
 
 @query
 def two_cycles(spark, d):
-    return graph.cycles(X.edges_b(spark, d), 2).select(joined("nodes").alias("nodes"))
+    return graph.cycles(X.edges_b(spark, d, distinct=False), 2).select(joined("nodes").alias("nodes"))
 
 
 @query

@@ -342,3 +342,46 @@ def test_many_small_files_by_the_router(spark, tmp_path):
     got = readers.load_markdown(spark, str(tmp_path))
     assert {(r.book_id, r.source_type, r.markdown) for r in got.collect()} == {(f"b{i}", "md", f"# Book {i}") for i in range(400)}
     assert got.rdd.getNumPartitions() <= 8  # 400 files of 4 MB by Spark's count would be 13 tasks
+
+
+def test_cycles_by_brute_force(spark):
+    rng = random.Random(5)
+    for n, m, longest in ((6, 30, 5), (12, 60, 4), (9, 20, 3), (40, 39, 3)):
+        pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)] + [("n0", "n0"), ("n1", None)]
+        if n == 40:  # a hub
+            pairs = [("n3", f"n{i}") for i in range(n)] + [(f"n{i}", "n3") for i in range(0, n, 2)] + pairs
+        held, want = {p for p in pairs if None not in p}, []
+
+        def walk(path):
+            want.extend([list(path)] * ((path[-1], path[0]) in held))
+            if len(path) < longest:
+                for _, t in sorted(p for p in held if p[0] == path[-1] and p[1] > path[0] and p[1] not in path):
+                    walk([*path, t])
+
+        for v in sorted({p[0] for p in held}):
+            walk([v])
+        got = [r.nodes for r in graph.cycles(spark.createDataFrame(pairs, "source string, target string"), longest).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_cycles_at_a_hub_make_no_pairs_of_its_neighbours(spark):
+    n = 1000
+    ends = spark.range(n).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("a"))
+    star = ends.select(F.col("a").alias("source"), F.lit("h").alias("target")).unionByName(ends.select(F.lit("h").alias("source"), F.col("a").alias("target")))
+    found = graph.cycles(star, 3)
+    joined, held = [0], found.groupBy(F.size("nodes").alias("k")).count()
+    assert {r.k: r["count"] for r in held.collect()} == {2: n}
+
+    def rows(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return rows(plan.executedPlan())
+        if "Join" in name:
+            joined[0] = max(joined[0], plan.metrics().apply("numOutputRows").value())
+        if name.endswith("QueryStage"):
+            return rows(plan.plan())
+        for k in range(plan.children().size()):
+            rows(plan.children().apply(k))
+
+    rows(held._jdf.queryExecution().executedPlan())
+    assert n <= joined[0] <= 4 * n
