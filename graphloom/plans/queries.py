@@ -644,10 +644,9 @@ def markdown_files(spark, d):
 
 @query
 def chunk_files(spark, d):
-    """Every document as a markdown file, read back by the chunk scan, which leaves out short ones."""
+    """Every document as a markdown file in the folder of its book, read back by the chunk scan, which leaves out short ones."""
     path = scratch(spark, "chunks")
-    made = docs(spark, d).select(F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("book_id"), F.col("content").alias("markdown"), F.lit(0).alias("index"))
-    writers.write_markdown_files(made, path)
+    writers.write_chunk_files(docs(spark, d).withColumn("name", F.concat(F.lit("c"), F.col("chunk_id").cast("string"))), path)
     return readers.chunks(spark, path).select(F.col("chunk_name").alias("name"), F.length("content").alias("chars"))
 
 

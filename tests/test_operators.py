@@ -385,3 +385,11 @@ def test_cycles_at_a_hub_make_no_pairs_of_its_neighbours(spark):
 
     rows(held._jdf.queryExecution().executedPlan())
     assert n <= joined[0] <= 4 * n
+
+
+def test_chunk_files_share_the_folder_of_their_book(spark, tmp_path):
+    made = spark.createDataFrame([(f"s{i % 3}", f"c{i}", f"chunk {i} of more than twenty characters") for i in range(30)], "book_id string, name string, content string")
+    writers.write_chunk_files(made, f"file://{tmp_path}")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["s0", "s1", "s2"]
+    got = readers.chunks(spark, f"file://{tmp_path}").select("book_id", "chunk_name", "content").collect()
+    assert {(r.book_id, r.chunk_name, r.content.strip()) for r in got} == {tuple(r) for r in made.collect()}
